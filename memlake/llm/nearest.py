@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm.cells import TABLES, assign, fit_cells, per_group
 from memlake.llm.collisions import top_neighbours
+from memlake.plans.runtime import written
 
 NEIGHBOURS = pa.schema([("id", pa.int64()), ("nbr", pa.int64()), ("cosine", pa.float64())])
 #: Copies of one vector beyond which they are represented by their k + 1 smallest ids instead of being compared.
@@ -57,6 +58,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, least: float = -1.0, tables:
     found = per_group(assign(index, fit_cells(index, tables)), work, "id long, nbr long, cosine double")
     best = _best(found, k)
     if classes:
+        best = written(best, "best")
         head = members.select("id", F.element_at("firsts", 1).alias("head"), "firsts")
         own = head.select("id", F.explode("firsts").alias("nbr"), F.lit(1.0).alias("cosine"))
         near = head.join(best.withColumnRenamed("id", "head"), "head").select("id", "nbr", "cosine")
