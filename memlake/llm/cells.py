@@ -58,7 +58,8 @@ def by_length(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np
         own = vectors.take(at)
         values = own.flatten().cast(pa.float32()).to_numpy(zero_copy_only=False).reshape(-1, n)
         good = usable(values)
-        yield ids.take(at).to_numpy(zero_copy_only=False)[good].astype(np.int64), values[good]
+        if good.any():
+            yield ids.take(at).to_numpy(zero_copy_only=False)[good].astype(np.int64), values[good]
 
 
 def leaders(units: np.ndarray, apart: float) -> tuple[np.ndarray, np.ndarray]:

