@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 #: Seconds of a day and of a week.
 DAY, WEEK = 86_400, 604_800
-TIME_SCALES = (3_600, DAY, WEEK, 30 * DAY, 91 * DAY, 365 * DAY, 1_461 * DAY)
+# The scales of the time code in seconds (minute to decade), and the bucket widths of a chart in minutes.
+TIME_SCALES = (60, 3_600, DAY, WEEK, 30 * DAY, 365 * DAY, 3_650 * DAY)
+BUCKET_MINUTES = (1, 2, 5, 10, 15, 30, 60, 120, 240, 360, 720, 1_440, 2_880, 4_320, 10_080, 20_160, 43_200, 86_400, 129_600, 259_200, 525_600)
+# For stages 3, 2 and 1 the scopes (or all there are, if fewer), the share of the active scopes and the sessions that they take.
+STAGES = ((3, 8, 0.78, 5), (2, 4, 0.55, 3), (1, 2, 0.25, 2))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -47,10 +51,10 @@ def tokens(text: Column) -> Column:
 
 
 def stem(token: Column) -> Column:
-    """A light English stem: long words lose -ing, -ies becomes -y, a single final s goes."""
+    """A light English stem: long words lose -ing (and a doubled letter before it), -ies becomes -y, a single final s goes."""
     n = F.length(token)
     return (
-        F.when((n > 5) & token.endswith("ing"), F.regexp_replace(token, "ing$", ""))
+        F.when((n > 5) & token.endswith("ing"), F.regexp_replace(F.regexp_replace(token, "ing$", ""), r"^(.+)(.)\2$", "$1$2"))
         .when((n > 4) & token.endswith("ies"), F.regexp_replace(token, "ies$", "y"))
         .when((n > 3) & token.endswith("s") & ~token.endswith("ss"), F.regexp_replace(token, "s$", ""))
         .otherwise(token)
@@ -81,14 +85,23 @@ def time_code(ts: Column) -> Column:
     return F.array(*waves)
 
 
-def stage(scopes: Column, kinds: Column, uses: Column) -> Column:
-    """How general a claim is, 0 to 3, from the distinct scopes and kinds it was used in and how often."""
-    return F.when((scopes >= 5) & (kinds >= 2) & (uses >= 8), 3).when((scopes >= 3) & (uses >= 4), 2).when(scopes >= 2, 1).otherwise(0)
+def stage(scopes: Column, kinds: Column, sessions: Column, active: Column) -> Column:
+    """How general a claim is, 0 to 3, from the scopes, scope kinds and sessions that it was used in and the number of active scopes.
+
+    Two kinds or more make up for one session, but for stage 1.
+    """
+    share = F.round(scopes / F.greatest(F.lit(1), active), 4)
+    bonus = F.when(kinds >= 2, 1).otherwise(0)
+    out = F.lit(0)
+    for name, least, breadth, seen in reversed(STAGES):
+        enough = sessions + (bonus if name > 1 else F.lit(0)) >= seen
+        out = F.when((scopes >= F.least(F.lit(least), active)) & (share >= breadth) & enough, name).otherwise(out)
+    return out
 
 
-def ladder(seconds: Column, rungs: tuple[int, ...] = (60, 300, 900, 3_600, 6 * 3_600, DAY, WEEK, 30 * DAY), most: int = 40) -> Column:
-    """The smallest rung that divides the window into at most `most` buckets, else the last."""
-    out = F.lit(rungs[-1])
-    for r in reversed(rungs[:-1]):
-        out = F.when(seconds <= r * most, r).otherwise(out)
+def ladder(seconds: Column, most: int = 40) -> Column:
+    """The narrowest bucket width, in seconds, that divides the window into at most `most` buckets, else the widest."""
+    out = F.lit(BUCKET_MINUTES[-1] * 60)
+    for minutes in reversed(BUCKET_MINUTES[:-1]):
+        out = F.when(seconds <= minutes * 60 * most, minutes * 60).otherwise(out)
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memlake.functions.columns import DAY, WEEK, bucket, clamp, decayed, epoch, ladder, normalised, scope_key, stage, time_code
+from memlake.functions.columns import BUCKET_MINUTES, DAY, TIME_SCALES, WEEK, bucket, clamp, decayed, epoch, ladder, normalised, scope_key, stage, time_code
 from memlake.operators.buckets import bucketed
 from memlake.operators.latest import add_missing, complete, latest_wins, upsert, without
 from memlake.sources.tables import table
@@ -74,8 +74,10 @@ def q02_bucket_channels(s, d):  # noqa: ANN001, ANN201
     return rows.groupBy("bucket").agg(*[F.count_if(F.lower("retrieval_type") == c).alias(c) for c in ("context", "recall")])
 
 
-@query("""WITH w AS (SELECT min(created_at) AS a, max(created_at) - min(created_at) AS s FROM retrieval_trace_runs),
-l AS (SELECT a, CASE WHEN s <= 60*40 THEN 60 WHEN s <= 300*40 THEN 300 WHEN s <= 900*40 THEN 900 WHEN s <= 3600*40 THEN 3600 WHEN s <= 21600*40 THEN 21600 WHEN s <= 86400*40 THEN 86400 WHEN s <= 604800*40 THEN 604800 ELSE 2592000 END AS width FROM w)
+_WIDTH = "CASE " + " ".join(f"WHEN s <= {m * 60 * 40} THEN {m * 60}" for m in BUCKET_MINUTES[:-1]) + f" ELSE {BUCKET_MINUTES[-1] * 60} END"
+
+
+@query(f"""WITH w AS (SELECT max(created_at) - min(created_at) AS s FROM retrieval_trace_runs), l AS (SELECT {_WIDTH} AS width FROM w)
 SELECT CAST(floor(created_at / width) AS BIGINT) * width AS bucket, CAST(width AS BIGINT) AS width, count(*) AS n FROM retrieval_trace_runs, l GROUP BY 1, 2""")
 def q03_histogram_adaptive(s, d):  # noqa: ANN001, ANN201
     rows = table(s, d, "retrieval_trace_runs")
@@ -190,12 +192,16 @@ def q28_coactivation(s, d):  # noqa: ANN001, ANN201
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.exp(-half_life * F.greatest(F.lit(0), 1_000_000_000 - F.col("at")))), 6).alias("weight"))
 
 
-@query(f"""SELECT candidate_id, scopes, kinds, uses, CASE WHEN scopes >= 5 AND kinds >= 2 AND uses >= 8 THEN 3 WHEN scopes >= 3 AND uses >= 4 THEN 2 WHEN scopes >= 2 THEN 1 ELSE 0 END AS stage FROM (
-SELECT candidate_id, count(DISTINCT scope_id) AS scopes, count(DISTINCT split_part(scope_id, ':', 1)) AS kinds, count(*) AS uses FROM {LAST_CANDS} c JOIN {LAST_CALLS} e ON c.retrieval_id = e.context_id WHERE decision = 'selected' AND candidate_kind = 'memory' GROUP BY 1)""")
+@query(f"""WITH a AS (SELECT count(DISTINCT scope_id) AS active FROM {LAST_CALLS}), u AS (SELECT candidate_id, count(DISTINCT scope_id) AS scopes, count(DISTINCT split_part(scope_id, ':', 1)) AS kinds, count(DISTINCT session_id) AS sessions
+FROM {LAST_CANDS} c JOIN {LAST_CALLS} e ON c.retrieval_id = e.context_id WHERE decision = 'selected' AND candidate_kind = 'memory' GROUP BY 1)
+SELECT candidate_id, scopes, kinds, sessions, CASE WHEN scopes >= least(8, active) AND round(scopes / active, 4) >= 0.78 AND sessions + CAST(kinds >= 2 AS INT) >= 5 THEN 3 WHEN scopes >= least(4, active) AND round(scopes / active, 4) >= 0.55 AND sessions + CAST(kinds >= 2 AS INT) >= 3 THEN 2
+WHEN scopes >= least(2, active) AND round(scopes / active, 4) >= 0.25 AND sessions >= 2 THEN 1 ELSE 0 END AS stage FROM u, a""")
 def q29_generalization_stage(s, d):  # noqa: ANN001, ANN201
-    used = candidates(s, d).where("decision = 'selected' and candidate_kind = 'memory'").join(calls(s, d).select(F.col("context_id").alias("retrieval_id"), "scope_id"), "retrieval_id")
-    per = used.groupBy("candidate_id").agg(F.count_distinct("scope_id").alias("scopes"), F.count_distinct(F.split_part("scope_id", F.lit(":"), F.lit(1))).alias("kinds"), F.count(F.lit(1)).alias("uses"))
-    return per.withColumn("stage", stage(F.col("scopes"), F.col("kinds"), F.col("uses")))
+    asked = calls(s, d).select(F.col("context_id").alias("retrieval_id"), "scope_id", "session_id")
+    active = asked.agg(F.count_distinct("scope_id").alias("active"))  # one row
+    used = candidates(s, d).where("decision = 'selected' and candidate_kind = 'memory'").join(asked, "retrieval_id")
+    per = used.groupBy("candidate_id").agg(F.count_distinct("scope_id").alias("scopes"), F.count_distinct(F.split_part("scope_id", F.lit(":"), F.lit(1))).alias("kinds"), F.count_distinct("session_id").alias("sessions"))
+    return per.crossJoin(F.broadcast(active)).select("candidate_id", "scopes", "kinds", "sessions", stage(F.col("scopes"), F.col("kinds"), F.col("sessions"), F.col("active")).alias("stage"))
 
 
 @query(f"""SELECT candidate_id, coalesce(scope_id, 'none') AS scope, round(count(*) FILTER (decision <> 'selected') / (count(*) FILTER (decision <> 'selected') + 3.0 * count(*) FILTER (decision = 'selected') + 1), 6) AS noise
@@ -242,7 +248,7 @@ def q47_worker_buckets(s, d):  # noqa: ANN001, ANN201
     return table(s, d, "retrieval_trace_runs").groupBy(bucket(F.col("created_at"), DAY).alias("bucket")).agg(F.count(F.lit(1)).alias("runs"), F.sum("selected_total").alias("selected"), F.sum(cut).alias("truncated_scored"))
 
 
-@query("SELECT event_id, " + ", ".join(f"CAST(round({f}(2 * pi() * epoch(date_trunc('second', ts)) / {sc}.0) / sqrt(7.0) * 1e6) AS BIGINT) AS {f}_{i}" for i, sc in enumerate((3600, 86400, 604800, 2592000, 7862400, 31536000, 126230400)) for f in ("sin", "cos")) + " FROM events")
+@query("SELECT event_id, " + ", ".join(f"CAST(round({f}(2 * pi() * epoch(date_trunc('second', ts)) / {sc}.0) / sqrt(7.0) * 1e6) AS BIGINT) AS {f}_{i}" for i, sc in enumerate(TIME_SCALES) for f in ("sin", "cos")) + " FROM events")
 def q55_time_code(s, d):  # noqa: ANN001, ANN201
     rows = table(s, d, "events").select("event_id", time_code(epoch(F.col("ts"))).alias("c"))
     return rows.select("event_id", *[F.round(F.col("c")[2 * i + j] * 1e6).cast("long").alias(f"{f}_{i}") for i in range(7) for j, f in enumerate(("sin", "cos"))])

@@ -85,7 +85,7 @@ def q50_budget_pack(s, d):  # noqa: ANN001, ANN201
     return taken.select("cue_id", "place", F.element_at("l", F.col("place"))["doc_id"].alias("doc_id"))
 
 
-@query(f"""SELECT stem, count(*) AS n FROM (SELECT CASE WHEN length(t) > 5 AND t LIKE '%ing' THEN regexp_replace(t, 'ing$', '') WHEN length(t) > 4 AND t LIKE '%ies' THEN regexp_replace(t, 'ies$', 'y') WHEN length(t) > 3 AND t LIKE '%s' AND t NOT LIKE '%ss' THEN regexp_replace(t, 's$', '') ELSE t END AS stem
+@query(f"""SELECT stem, count(*) AS n FROM (SELECT CASE WHEN length(t) > 5 AND t LIKE '%ing' THEN CASE WHEN length(t) > 5 AND t[-4] = t[-5] THEN t[:-5] ELSE t[:-4] END WHEN length(t) > 4 AND t LIKE '%ies' THEN regexp_replace(t, 'ies$', 'y') WHEN length(t) > 3 AND t LIKE '%s' AND t NOT LIKE '%ss' THEN regexp_replace(t, 's$', '') ELSE t END AS stem
 FROM (SELECT unnest(regexp_extract_all(lower(content_text), '[\\p{{L}}\\p{{N}}]+')) AS t FROM memory_schemas)) GROUP BY 1""")
 def q71_stems(s, d):  # noqa: ANN001, ANN201
     words = table(s, d, "memory_schemas").select(F.explode(tokens(F.col("content_text"))).alias("t"))

@@ -14,6 +14,8 @@ from memlake.operators.lexical import bm25
 from memlake.operators.orphans import Reference, bloom_filter, find_orphans, orphan_report, text_key
 from memlake.operators.search import block_search, cosine_histogram
 from memlake.operators.vectors import bind, mean_pair_distance, mean_vectors, principal_axes, role_vector, unbind
+from memlake.operators.windows import first_fitting_pages, sentence_windows
+from memlake.streaming.event_log import closed_sessions, drained, latest_snapshot, read_log, windowed
 
 D = dt.datetime
 
@@ -78,13 +80,13 @@ def test_buckets(spark):
     df = spark.createDataFrame([(5,), (7,), (31,), (None,), (-3,)], "t long")
     assert rows(bucketed(df, F.col("t"), 10, {"n": F.count(F.lit(1))})) == sorted([(-10, 1), (0, 2), (10, 0), (20, 0), (30, 1)], key=repr)
     assert rows(bucketed(df.limit(0), F.col("t"), 10, {"n": F.count(F.lit(1))})) == []
-    assert [r[0] for r in spark.createDataFrame([(2_400,), (2_401,), (10**9,)], "s long").select(ladder(F.col("s"))).collect()] == [60, 300, 2_592_000]
+    assert [r[0] for r in spark.createDataFrame([(2_400,), (2_401,), (10**9,)], "s long").select(ladder(F.col("s"))).collect()] == [60, 120, 31_536_000]
 
 
 def test_columns(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), (None, [1.0, 1.0])], "a array<float>, b array<float>")
     assert [None if r[0] is None else round(r[0], 6) for r in df.select(cosine(F.col("a"), F.col("b"))).collect()] == [0.707107, None, None]
-    assert [r[0] for r in spark.createDataFrame([(x,) for x in ("running", "stories", "class", "cats", "as")], "w string").select(stem(F.col("w"))).collect()] == ["runn", "story", "class", "cat", "as"]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in ("running", "merging", "stories", "class", "cats", "as")], "w string").select(stem(F.col("w"))).collect()] == ["run", "merg", "story", "class", "cat", "as"]
     code = spark.createDataFrame([(12_345,)], "t long").select(time_code(F.col("t"))).first()[0]
     assert len(code) == 14 and abs(sum(x * x for x in code) - 1) < 1e-12
 
@@ -163,3 +165,35 @@ def test_vectors(spark):
 def test_binding():
     x, r = np.random.default_rng(2).standard_normal(64), role_vector(1, 64)
     assert np.allclose(unbind(bind(x, r), r), x)
+
+
+def test_sentence_windows(spark):
+    texts = ["One. Two! Three? Four.", "", None, "x" * 50, "v1.2 is out.\nNext line " + "y" * 30 + ". End", "no end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {}
+    for i, a, b in sorted(rows(sentence_windows(df, 12))):
+        got.setdefault(i, []).append((a, b))
+    assert set(got) == {0, 3, 4, 5} and got[3] == [(0, 50)] and got[5] == [(0, 6)]
+    assert got[0] == [(0, 10), (5, 17), (10, 22)]
+    for i, spans in got.items():
+        assert spans[0][0] == 0 and spans[-1][1] == len(texts[i])
+        assert all(a[0] < b[0] <= a[1] < b[1] for a, b in zip(spans, spans[1:]))
+
+
+def test_pages(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 6), ("a", 3, 1), ("b", 1, 30), ("b", 2, 1)], "g string, i long, s int")
+    assert rows(first_fitting_pages(df, "g", "i", "s", 10)) == [("a", 1, 0), ("a", 2, 0), ("a", 3, 1), ("b", 1, 0), ("b", 2, 3)]
+
+
+def test_streams(spark, tmp_path):
+    log = str(tmp_path / "log.parquet")
+    first = spark.createDataFrame([(1, D(2025, 1, 1, 0), "a", 1), (1, D(2025, 1, 1, 1), "b", 2), (2, D(2025, 1, 1, 2), "a", 3), (None, None, "a", 4)], "k int, at timestamp, kind string, v int")
+    later = spark.createDataFrame([(1, D(2025, 1, 3, 0), "a", 0), (2, D(2024, 12, 1, 0), "late", 9), (2, D(2025, 1, 9, 0), "b", 5)], "k int, at timestamp, kind string, v int")
+    first.coalesce(1).write.parquet(log)
+    later.coalesce(1).write.mode("append").parquet(log)
+    snapshot = latest_snapshot(read_log(spark, log, 1), ["k"], [F.desc("v")])
+    assert rows(snapshot, "k", "v") == [(1, 2), (2, 9), (None, 4)]
+    counts = rows(drained(windowed(read_log(spark, log, 1), "at", "1 day", "kind"), "complete"), "kind", "n")
+    assert sum(n for _, n in counts) == 6
+    closed = rows(drained(closed_sessions(read_log(spark, log, 8), "k", "at")), "k", "n")
+    assert (1, 2) in closed and all(n >= 1 for _, n in closed)
