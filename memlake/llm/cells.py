@@ -14,26 +14,49 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.plans.runtime import BROADCAST_ROWS, written
+
 #: Vectors that pivots are fitted on at most (twice this number is the hard bound), whatever the input's size.
 SAMPLE = 8192
 #: Vectors that a cell should have, and the most pivots of a table.
 CELL, MAX_PIVOTS = 2000, 4096
 #: Vectors in one block of a split cell.
-BLOCK = 6144
+BLOCK = 12_288
 #: Sample vectors at least this similar to a pivot become no pivot themselves, so that a dense cluster keeps one cell.
 APART = 0.6
 #: A vector stays in the first table if it is this similar to its pivot; there it also enters all cells of pivots at least
 #: as similar as NEAR.
 OWN, NEAR = 0.62, 0.5
+#: Copies of one vector beyond which only their smallest ids are compared.
+HEAVY = 64
 #: Pivot tables: that of the clusters, and those for the vectors outside of them.
 TABLES = 4
 
 CELL_SCHEMA = "g long, side byte, id long, vec binary"
 
 
+def without_copies(vectors: DataFrame, keep: int, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame | None]:
+    """`vectors` (id, vec) without the copies of vectors that more than `heavy` rows share word for word, but for their `keep` smallest ids.
+
+    Also (id, firsts) of the ids left out, firsts being those smallest ids in order; None if there are none.
+    """
+    digest = F.xxhash64("vec")
+    many = vectors.groupBy(digest.alias("digest")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy).select("digest")
+    ids = vectors.select(digest.alias("digest"), "id").join(many, "digest", "left_semi").distinct()
+    # a rank below a constant is limited within each task before the shuffle
+    ranked = ids.withColumn("r", F.row_number().over(Window.partitionBy("digest").orderBy("id"))).where(F.col("r") <= keep)
+    firsts = written(ranked.groupBy("digest").agg(F.array_sort(F.collect_list("id")).alias("firsts")), "firsts")
+    classes = firsts.count()
+    if not classes:
+        return vectors, None
+    digests = vectors.withColumn("digest", digest).join(F.broadcast(firsts) if classes <= BROADCAST_ROWS else firsts, "digest", "left")
+    spare = F.col("firsts").isNotNull() & ~F.array_contains("firsts", F.col("id"))
+    return digests.where(~spare).select("id", "vec"), digests.where(spare).select("id", "firsts").distinct()
+
+
 def usable(matrix: np.ndarray) -> np.ndarray:
     """Rows free of NaN and infinities and not all zero."""
     return np.isfinite(matrix).all(1) & (matrix != 0).any(1)

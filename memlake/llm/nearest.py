@@ -7,30 +7,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.cells import TABLES, assign, fit_cells, per_group
+from memlake.llm.cells import HEAVY, TABLES, assign, fit_cells, per_group, without_copies
 from memlake.llm.collisions import top_neighbours
 from memlake.plans.runtime import written
 
 NEIGHBOURS = pa.schema([("id", pa.int64()), ("nbr", pa.int64()), ("cosine", pa.float64())])
-#: Copies of one vector beyond which they are represented by their k + 1 smallest ids instead of being compared.
-HEAVY = 64
-
 
 def vectors_of(df: DataFrame, key: Column, vector: Column) -> DataFrame:
     """(id, vec) of the rows that have both."""
     return df.select(key.cast("long").alias("id"), vector.alias("vec")).where(F.col("id").isNotNull() & (F.size("vec") > 0))
 
 
-def _copies(vectors: DataFrame, k: int, heavy: int) -> DataFrame:
-    """(digest, firsts) of vectors that more than `heavy` rows share word for word; firsts are their k + 1 smallest ids."""
-    digest = F.xxhash64("vec")
-    many = vectors.groupBy(digest.alias("digest")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy).select("digest")
-    ids = vectors.select(digest.alias("digest"), "id").join(many, "digest", "left_semi").distinct()
-    # row_number below a constant is limited within each partition before the shuffle
-    ranked = ids.withColumn("r", F.row_number().over(Window.partitionBy("digest").orderBy("id"))).where(F.col("r") <= k + 1)
-    return ranked.groupBy("digest").agg(F.array_sort(F.collect_list("id")).alias("firsts"))
-
-
 def nearest_vectors(vectors: DataFrame, k: int = 5, least: float = -1.0, tables: int = TABLES, heavy: int = HEAVY) -> DataFrame:
     """(id, nbr, cosine): the `k` most similar other vectors of each vector of `vectors` (id long, vec array<float>).
 
@@ -40,14 +27,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, least: float = -1.0, tables:
     input gives an empty result. A vector that more than `heavy` rows share is compared through its smallest ids, and every
     one of those rows gets its own result.
     """
-    firsts = _copies(vectors, k, heavy)
-    classes = firsts.count()
-    index = vectors
-    if classes:
-        digests = vectors.withColumn("digest", F.xxhash64("vec")).join(firsts, "digest", "left")
-        spare = F.col("firsts").isNotNull() & ~F.array_contains("firsts", F.col("id"))
-        index = digests.where(~spare).select("id", "vec")
-        members = digests.where(spare).select("id", "firsts").distinct()
+    index, members = without_copies(vectors, k + 1, heavy)
 
     def work(ids: np.ndarray, m: np.ndarray, other_ids: np.ndarray, other: np.ndarray) -> pa.Table:
         found = [top_neighbours(ids, m, other_ids, other, k, least)]
@@ -57,7 +37,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, least: float = -1.0, tables:
 
     found = per_group(assign(index, fit_cells(index, tables)), work, "id long, nbr long, cosine double")
     best = _best(found, k)
-    if classes:
+    if members is not None:
         best = written(best, "best")
         head = members.select("id", F.element_at("firsts", 1).alias("head"), "firsts")
         own = head.select("id", F.explode("firsts").alias("nbr"), F.lit(1.0).alias("cosine"))

@@ -162,6 +162,12 @@ def test_linked_clusters(spark):
     assert rows(linked_clusters(frame(spark, few, [], False))) == []
 
 
+def test_linked_clusters_with_many_copies(spark):
+    m = planted(21, clusters=3, size=20, lone=40)
+    m = np.concatenate([np.repeat(m[:1], 80, 0), np.repeat(m[-1:], 70, 0), m])
+    assert set(rows(linked_clusters(frame(spark, m)))) == components(m, 0.7, 5)
+
+
 def test_cluster_features_merge():
     m = unit(planted(13))
     one = np.ones(len(m))
