@@ -57,17 +57,18 @@ def _grams(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def winnow(grams: np.ndarray, window: int) -> np.ndarray:
-    """Places of the least hash of each window, the last of equal ones."""
+def winnow(grams: np.ndarray, window: int, begins: np.ndarray | None = None) -> np.ndarray:
+    """Places of the least hash of each window, the last of equal ones; begins: a mask of the places where windows may begin."""
     n = len(grams) - window + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    least, place = grams[:n].copy(), np.arange(n)
+    least, place = grams[:n].copy(), np.zeros(n, np.int64)
     for i in range(1, window):
         lower = grams[i : i + n] <= least
-        least[lower] = grams[i : i + n][lower]
-        place[lower] = np.flatnonzero(lower) + i
-    return np.unique(place)
+        np.minimum(least, grams[i : i + n], out=least)
+        place[lower] = i
+    place += np.arange(n)
+    return np.unique(place if begins is None else place[begins[:n]])
 
 
 def item_prints(items: DataFrame) -> DataFrame:
@@ -96,22 +97,25 @@ def text_prints(texts: DataFrame, lengths: list[int], known: np.ndarray | None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            names, words = batch.column("id").to_numpy(), [words_of(t) for t in batch.column("text").to_pylist()]
+            h = np.fromiter((_hashes[w] for ws in words for w in ws), np.uint64)
+            bounds = np.cumsum([0, *map(len, words)])
+            # words left in its text from each place on
+            left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(h))
             ids, prints, places, sizes = [], [], [], []
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                h = np.array([_hashes[w] for w in words_of(text)], np.uint64)
-                for n in (0, *lengths):
-                    g = _grams(h, n or GRAM)
-                    at = np.arange(len(g)) if n else winnow(g, WINDOW)
-                    v = g[at].view(np.int64)
-                    if known is not None and len(v):
-                        inside = known[np.minimum(np.searchsorted(known, v), len(known) - 1)] == v if len(known) else np.zeros(len(v), bool)
-                        at, v = at[inside], v[inside]
-                    if len(v):
-                        ids.append(np.full(len(v), i))
-                        prints.append(v)
-                        places.append(at.astype(np.int32))
-                        sizes.append(np.full(len(v), n, np.int32))
-            flat = [np.concatenate(x) if x else np.empty(0, t) for x, t in ((ids, np.int64), (prints, np.int64), (places, np.int32), (sizes, np.int32))]
+            for n in (0, *lengths):
+                g = _grams(h, n or GRAM)
+                at = np.flatnonzero(left[: len(g)] >= n) if n else winnow(g, WINDOW, left >= RUN)
+                v = g[at].view(np.int64)
+                if known is not None:
+                    inside = known[np.minimum(np.searchsorted(known, v), len(known) - 1)] == v if len(known) else np.zeros(len(v), bool)
+                    at, v = at[inside], v[inside]
+                text = np.searchsorted(bounds, at, "right") - 1
+                ids.append(names[text])
+                prints.append(v)
+                places.append((at - bounds[text]).astype(np.int32))
+                sizes.append(np.full(len(v), n, np.int32))
+            flat = [np.concatenate(x) for x in (ids, prints, places, sizes)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], names=["id", "print", "pos", "n"])
 
     return texts.mapInArrow(run, PRINT_SCHEMA)
@@ -119,17 +123,18 @@ def text_prints(texts: DataFrame, lengths: list[int], known: np.ndarray | None)
 
 def _longest(item: list[str], words: list[str], hits: list[tuple[int, int]]) -> tuple[int, int, int]:
     """(length, place in the item, place in the text) of the longest common run through one of the hits."""
-    best, seen = (0, 0, 0), set()
-    for q, p in hits:
+    best: tuple[int, int, int] = (0, 0, 0)
+    ends: dict[int, int] = {}  # where the last run of each diagonal ends in the item
+    for q, p in sorted(hits):
+        if q < ends.get(p - q, 0):
+            continue
         a = 0
         while a < min(p, q) and item[q - a - 1] == words[p - a - 1]:
             a += 1
-        if (q - a, p - a) in seen:
-            continue
-        seen.add((q - a, p - a))
         n, most = 0, min(len(item) - q + a, len(words) - p + a)
         while n < most and item[q - a + n] == words[p - a + n]:
             n += 1
+        ends[p - q] = q - a + n
         best = max(best, (n, -(q - a), -(p - a)))
     return best[0], -best[1], -best[2]
 
