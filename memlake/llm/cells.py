@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.llm.batches import small
 from memlake.plans.runtime import BROADCAST_ROWS, written
 
 #: Vectors that pivots are fitted on at most (twice this number is the hard bound), whatever the input's size.
@@ -174,7 +175,7 @@ def assign(vectors: DataFrame, cells: Cells) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 2_000):
             for ids, m in by_length(batch.column("id"), batch.column("vec")):
                 n = m.shape[1]
                 u = unit(m).astype(np.float32)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.llm.batches import small
 from memlake.plans.runtime import BROADCAST_ROWS, written
 
 RUN, GRAM = 13, 5
@@ -36,7 +37,7 @@ class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word) | 1
         return h
@@ -96,7 +97,7 @@ def text_prints(texts: DataFrame, lengths: list[int], known: np.ndarray | None)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             names, words = batch.column("id").to_numpy(), [words_of(t) for t in batch.column("text").to_pylist()]
             h = np.fromiter((_hashes[w] for ws in words for w in ws), np.uint64)
             bounds = np.cumsum([0, *map(len, words)])
@@ -162,7 +163,7 @@ def leaked_items(texts: DataFrame, items: DataFrame, known: int = KNOWN) -> Data
     )
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for r in batch.to_pylist():
                 item = words_of(r["item_text"])

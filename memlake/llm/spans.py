@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.llm.batches import small
 from memlake.plans.runtime import written
 
 LENGTH, CUT, GEAR = 300, 100, 32
@@ -80,12 +81,12 @@ def record_cuts(texts: DataFrame) -> DataFrame:
         from xxhash import xxh3_64_intdigest as digest
 
         core = LENGTH - CUT + 1
-        for batch in batches:
+        for batch in small(batches):
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             at = 0
             while at < len(ids):  # parts of bounded size
                 end, size = at, 0
-                while end < len(ids) and (end == at or size + len(texts[end]) < 4_000_000):
+                while end < len(ids) and (end == at or size + len(texts[end]) < 1_000_000):
                     size += len(texts[end])
                     end += 1
                 part_ids, part = ids[at:end], texts[at:end]
@@ -121,7 +122,7 @@ def _window_digests(kept: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest as digest
 
-        for batch in batches:
+        for batch in small(batches):
             for text, asked in zip(batch.column("text").to_pylist(), batch.column("asked").to_pylist()):
                 raw = text.encode("utf-32-le", "surrogatepass")
                 rows = []

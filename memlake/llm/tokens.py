@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.llm.batches import small
+
 FOLDER = "/opt/tokenizers"
 #: Pre-tokens that a worker remembers; beyond that it starts afresh.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 # The public pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -83,7 +85,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             pieces = _split([t or "" for t in batch.column("text").to_pylist()])
             met = _pieces(tokenizer, pieces)
             ids = [list(chain.from_iterable(map(met.__getitem__, p))) for p in pieces]
@@ -104,7 +106,7 @@ def encode_offsets(df: DataFrame, key: str = "doc_id", text: str = "text", token
         import numpy as np
 
         size = [len(b) for b in _token_bytes(tokenizer)]
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             pieces = _split(texts)
             met = _pieces(tokenizer, pieces)
@@ -132,7 +134,7 @@ def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", tokenizer: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _token_bytes(tokenizer)
-        for batch in batches:
+        for batch in small(batches):
             texts = [None if x is None else b"".join([table[i] for i in x]).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], names=["key", "text"])
 
