@@ -152,8 +152,8 @@ def leaked_items(texts: DataFrame, items: DataFrame, known: int = KNOWN) -> Data
     prints = written(item_prints(items), "prints")
     lengths = sorted(r[0] for r in prints.where("n > 0").select("n").distinct().limit(RUN).collect())  # below RUN
     total = prints.limit(known + 1).count()
-    small = total <= known
-    values = np.unique(prints.select("print").distinct().toArrow().column(0).to_numpy()) if small else None
+    few = total <= known
+    values = np.unique(prints.select("print").distinct().toArrow().column(0).to_numpy()) if few else None
     found = text_prints(texts, lengths, values)
     own = prints.select("print", "n", F.col("id").alias("item_id"), F.col("pos").alias("q"))
     hits = found.join(F.broadcast(own) if total <= min(known, BROADCAST_ROWS) else own, ["print", "n"]).select("item_id", F.col("id").alias("doc_id"), "q", F.col("pos").alias("p"))
