@@ -21,9 +21,9 @@ from memlake.llm.batches import small
 from memlake.plans.runtime import BROADCAST_ROWS, written
 
 #: Vectors that pivots are fitted on at most (twice this number is the hard bound), whatever the input's size.
-SAMPLE = 8192
+SAMPLE = 16_384
 #: Vectors that a cell should have, and the most pivots of a table.
-CELL, MAX_PIVOTS = 2000, 4096
+CELL, MAX_PIVOTS = 6_000, 4_096
 #: Vectors in one block of a split cell.
 BLOCK = 12_288
 #: Sample vectors at least this similar to a pivot become no pivot themselves, so that a dense cluster keeps one cell.
@@ -88,14 +88,17 @@ def by_length(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np
 
 def leaders(units: np.ndarray, apart: float) -> tuple[np.ndarray, np.ndarray]:
     """Indices of vectors that no earlier leader is as similar to as `apart`, and how many vectors each covers."""
+    single = units.astype(np.float32)
     free, found, covers = np.ones(len(units), bool), [], []
-    for i in range(len(units)):
-        if free[i]:
-            near = units @ units[i] >= apart
-            near[i] = True
-            found.append(i)
-            covers.append(int((near & free).sum()))
-            free &= ~near
+    for start in range(0, len(units), 512):
+        near = single[start : start + 512] @ single.T >= apart
+        for i in range(start, start + len(near)):
+            if free[i]:
+                own = near[i - start]
+                own[i] = True
+                found.append(i)
+                covers.append(int((own & free).sum()))
+                free &= ~own
     return np.array(found, int), np.array(covers, int)
 
 
