@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.llm.batches import small
@@ -39,17 +39,26 @@ TABLES = 4
 CELL_SCHEMA = "g long, side byte, id long, vec binary"
 
 
+def usable_vector(v: Column) -> Column:
+    """Whether the array `v` is free of nulls, NaN and infinities and not all zero; as `usable` in Spark."""
+    return F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+
+
 def without_copies(vectors: DataFrame, keep: int, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame | None]:
     """`vectors` (id, vec) without the copies of vectors that more than `heavy` rows share word for word, but for their `keep` smallest ids.
 
-    Also (id, firsts) of the ids left out, firsts being those smallest ids in order; None if there are none.
+    Also (id, firsts) of the ids left out, firsts being those smallest ids in order; None if there are none. Copies of an unusable
+    vector are no class: they stay in `vectors`, and whoever reads these drops them.
     """
     digest = F.xxhash64("vec")
     many = vectors.groupBy(digest.alias("digest")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy).select("digest")
-    ids = vectors.select(digest.alias("digest"), "id").join(many, "digest", "left_semi").distinct()
+    shared = vectors.select(digest.alias("digest"), "id", "vec").join(many, "digest", "left_semi")
+    ids = shared.select("digest", "id", usable_vector(F.col("vec")).alias("usable")).distinct()
     # a rank below a constant is limited within each task before the shuffle
     ranked = ids.withColumn("r", F.row_number().over(Window.partitionBy("digest").orderBy("id"))).where(F.col("r") <= keep)
-    firsts = written(ranked.groupBy("digest").agg(F.array_sort(F.collect_list("id")).alias("firsts")), "firsts")
+    # the test comes after the ranking, so that it runs on the shared vectors alone and not on all
+    classes = ranked.groupBy("digest").agg(F.array_sort(F.collect_list("id")).alias("firsts"), F.bool_and("usable").alias("usable"))
+    firsts = written(classes.where("usable").drop("usable"), "firsts")
     classes = firsts.count()
     if not classes:
         return vectors, None

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memlake.llm import cells as cells_module
-from memlake.llm.cells import assign, by_length, fit_cells, leaders, unit
+from memlake.llm.cells import HEAVY, assign, by_length, fit_cells, leaders, unit
 from memlake.llm.clusters import agglomerate, condense, linked_clusters, typical_members, ward, ward_centroids
 from memlake.llm.collisions import Windows, pairs_of, top_neighbours
 from memlake.llm.neardup import expand_vectors, similar_vectors
@@ -83,6 +83,16 @@ def test_nearest_with_many_copies(spark):
     assert all(found[i] == want[i] for i in range(71))
 
 
+def test_nearest_with_many_unusable_copies(spark):
+    """Beyond the bound on copies, too, unusable vectors have no result and are nobody's neighbour."""
+    m = planted(3, clusters=4, size=20, lone=60)
+    bad = [[0.0] * 24, [float("nan")] * 24, [float("inf")] + [0.0] * 23, [], None]
+    extra = [(1_000 + 100 * k + i, v) for k, v in enumerate(bad) for i in range(HEAVY + 1)]
+    clean = rows(nearest_vectors(frame(spark, m, [], False), 5, 0.7))
+    assert clean and rows(nearest_vectors(frame(spark, m, extra, False), 5, 0.7)) == clean
+    assert rows(nearest_vectors(frame(spark, m[:0], extra, False), 5, 0.7)) == []
+
+
 def test_split_cells_lose_nothing(spark, monkeypatch):
     m = planted(5, clusters=2, size=150, lone=20)
     df = frame(spark, m, [], False)
