@@ -61,9 +61,11 @@ def reached(seeds: DataFrame, edges: DataFrame, hops: int = 2, decay: float = 0.
     return out
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, label) of every node of the undirected `edges` (src, dst); label is the component's smallest node.
 
+    Those of `nodes` (node) that no edge links are components of their own.
+
     Least labels spread to neighbours and then jump along the label's own label, so that long chains need few rounds; each round's
     state is cut by a reliable checkpoint. Null ends and loops link nothing.
     """
@@ -76,20 +78,33 @@ def connected_components(edges: DataFrame) -> DataFrame:
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
         labels = cut(step.join(jump, "label", "left").select("node", "old", F.least("label", "far").alias("label")))
         if not labels.where("label <> old").limit(1).count():
-            return labels.select("node", "label")
+            found = labels.select("node", "label")
+            if nodes is None:
+                return found
+            lone = nodes.select("node").where("node is not null").distinct().join(found, "node", "left_anti")
+            return found.unionByName(lone.withColumn("label", F.col("node")))
         labels = labels.select("node", "label")
 
 
-def hubs_and_authorities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, hub, authority) after `rounds` rounds of mutual reinforcement, each scaled to a sum of squares of 1."""
-
-    def scaled(df: DataFrame, name: str) -> DataFrame:
-        length = df.agg(F.sqrt(F.sum(F.col(name) ** 2)).alias("_l"))
-        return cut(df.crossJoin(F.broadcast(length)).select("node", (F.col(name) / F.nullif(F.col("_l"), F.lit(0.0))).alias(name)))  # _l is one row
+def hubs_and_authorities(edges: DataFrame, rounds: int = 50, tolerance: float = 1e-8, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, hub, authority) by mutual reinforcement over `edges` (src, dst, weight), each scaled to a sum of squares of 1.
 
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    hub = nodes.withColumn("hub", F.lit(1.0))
+    Both are renewed at once from the round before, until none changes by `tolerance` or after `rounds` rounds. Those of `nodes` (node)
+    that no edge links have 0 in both.
+    """
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
+    every = (ends if nodes is None else ends.unionByName(nodes.select("node"))).where("node is not null").distinct()
+    to_dst = edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), "weight", F.lit(True).alias("inward"))
+    to_src = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), "weight", F.lit(False).alias("inward"))
+    links = cut(to_dst.unionByName(to_src))
+    state = cut(every.withColumns({"hub": F.lit(1.0), "authority": F.lit(1.0)}))
     for _ in range(rounds):
-        authority = scaled(edges.join(hub.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("hub") * F.col("weight")).alias("authority")), "authority")
-        hub = scaled(edges.join(authority.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("authority") * F.col("weight")).alias("hub")), "hub")
-    return nodes.join(hub, "node", "left").join(authority, "node", "left").select("node", F.coalesce("hub", F.lit(0.0)).alias("hub"), F.coalesce("authority", F.lit(0.0)).alias("authority"))
+        given = F.when(F.col("inward"), F.col("hub")).otherwise(F.col("authority")) * F.col("weight")
+        sums = links.join(state.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum(F.when(F.col("inward"), given)).alias("a"), F.sum(F.when(~F.col("inward"), given)).alias("h"))
+        step = cut(state.join(sums, "node", "left").fillna(0.0, ["a", "h"]))
+        length = step.agg(F.sqrt(F.sum(F.col("h") ** 2)).alias("h"), F.sqrt(F.sum(F.col("a") ** 2)).alias("a")).first()
+        new = step.select("node", F.col("hub").alias("old_h"), F.col("authority").alias("old_a"), *[(F.col(c) / ((length[c] or 0.0) + 1e-12)).alias(n) for c, n in (("h", "hub"), ("a", "authority"))])
+        state = new.select("node", "hub", "authority")
+        if not new.where((F.abs(F.col("hub") - F.col("old_h")) >= tolerance) | (F.abs(F.col("authority") - F.col("old_a")) >= tolerance)).limit(1).count():
+            break
+    return state

@@ -212,6 +212,14 @@ def _counts(s: SparkSession, d: str) -> DataFrame:
     return graph.transitions(_steps(s, d), [F.floor(F.col("ts") / 86_400)], ["ts", "id"], "p")
 
 
+_NODES = f"(SELECT id AS node FROM semantic_prototypes WHERE id IS NOT NULL UNION SELECT p FROM ({_LINKS}))"
+
+
+def _nodes(s: SparkSession, d: str) -> DataFrame:
+    """Every prototype, and every one that an episode maps to, linked or not."""
+    return table(s, d, "semantic_prototypes").select(F.col("id").alias("node")).where("node is not null").union(_steps(s, d).select("p")).distinct()
+
+
 def _edges(s: SparkSession, d: str) -> DataFrame:
     return graph.probabilities(_counts(s, d))
 
@@ -254,13 +262,21 @@ def q38_relation_spread(s, d):
 
 @query(f"""WITH RECURSIVE e AS (SELECT src, dst FROM ({_TRANS}) WHERE n >= 2 AND src <> dst), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(node, label) AS (SELECT DISTINCT src, src FROM b UNION SELECT b.dst, r.label FROM r JOIN b ON r.node = b.src WHERE r.label < b.dst) SELECT node, min(label) AS label FROM r GROUP BY 1""")
 def q39_components(s, d):
+    """Components of the links seen twice or more, as the SQL states them; q109_all_components has those of the whole graph."""
     return graph.connected_components(_counts(s, d).where("n >= 2").select("src", "dst"))
 
 
+@query(f"""WITH RECURSIVE e AS (SELECT src, dst FROM ({_TRANS}) WHERE src <> dst), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(node, label) AS (SELECT DISTINCT src, src FROM b UNION SELECT b.dst, r.label FROM r JOIN b ON r.node = b.src WHERE r.label < b.dst)
+SELECT n.node, coalesce(c.label, n.node) AS label FROM {_NODES} n LEFT JOIN (SELECT node, min(label) AS label FROM r GROUP BY 1) c ON c.node = n.node""")
+def q109_all_components(s, d):
+    return graph.connected_components(_counts(s, d).select("src", "dst"), _nodes(s, d))
+
+
 @query()
 def q40_hits(s, d):
-    counts = _counts(s, d).where("n >= 2").select("src", "dst", F.col("n").cast("double").alias("weight"))
-    return graph.hubs_and_authorities(counts, 5).select("node", F.round("hub", 6).alias("hub"), F.round("authority", 6).alias("authority"))
+    """Hubs and authorities over all links, until none changes by 1e-8 or after 50 rounds."""
+    counts = _counts(s, d).select("src", "dst", F.col("n").cast("double").alias("weight"))
+    return graph.hubs_and_authorities(counts, nodes=_nodes(s, d)).select("node", F.round("hub", 6).alias("hub"), F.round("authority", 6).alias("authority"))
 
 
 @query(f"""WITH t AS ({_TRANS}), g AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM t UNION ALL SELECT dst FROM t) GROUP BY 1) SELECT degree, count(*) AS nodes FROM g GROUP BY 1""")
