@@ -329,10 +329,24 @@ def q74_gate_rejections(s, d):
 
 @query("""SELECT episode_id, prototype_id FROM (SELECT DISTINCT episode_id, prototype_id FROM episode_prototype_map WHERE episode_id % 2 = 0 OR prototype_id % 3 = 0) WHERE episode_id IS NOT NULL AND prototype_id IS NOT NULL""")
 def q75_insert_or_ignore(s, d):
+    """Two slices of the links, as the SQL states them; q110_insert_or_ignore_late takes the whole table."""
     rows = table(s, d, "episode_prototype_map").select("episode_id", "prototype_id").dropna()
     return add_missing(rows.where("episode_id % 2 = 0").distinct(), rows.where("prototype_id % 3 = 0"), ["episode_id", "prototype_id"])
 
 
+#: From this load on a link counts as new in q110; one without a time of loading does, too.
+LOADED = "2025-10-01 00:00:00"
+
+
+@query(f"""SELECT episode_id, prototype_id, bool_or(coalesce(loaded_at < TIMESTAMP '{LOADED}', false)) AS known FROM episode_prototype_map WHERE episode_id IS NOT NULL AND prototype_id IS NOT NULL GROUP BY 1, 2""")
+def q110_insert_or_ignore_late(s, d):
+    """The links known before a load and those that it adds; links that it repeats are ignored."""
+    rows = table(s, d, "episode_prototype_map").dropna(subset=["episode_id", "prototype_id"])
+    known = F.coalesce(F.col("loaded_at").cast("timestamp") < F.lit(LOADED).cast("timestamp"), F.lit(False))
+    rows = rows.select("episode_id", "prototype_id", known.alias("known"))
+    return add_missing(rows.where("known").distinct(), rows.where("not known"), ["episode_id", "prototype_id"])
+
+
 @query("""WITH o AS (SELECT id, max(support_count) AS c, max(variance) AS v FROM semantic_prototypes WHERE logic_version = '0' GROUP BY id), n AS (SELECT id, max(support_count) AS c, max(variance) AS v FROM semantic_prototypes WHERE logic_version <> '0' GROUP BY id)
 SELECT coalesce(o.id, n.id) AS id, coalesce(n.c, o.c) AS support_count, coalesce(n.v, o.v) AS variance FROM o FULL JOIN n ON o.id = n.id""")
 def q76_upsert(s, d):

@@ -59,3 +59,11 @@ def test_hits_of_all_links(spark):
     assert {r.id for r in spark.read.parquet(f"{DATA}/semantic_prototypes.parquet").select("id").dropna().collect()} <= set(found)
     want = hits(list(found), edges)
     assert all(np.allclose(found[n], want[n], atol=2e-6) for n in found)
+
+
+@given
+def test_insert_or_ignore_takes_all_links(spark):
+    links = spark.read.parquet(f"{DATA}/episode_prototype_map.parquet").select("episode_id", "prototype_id").dropna()
+    found = entry.queries()["q110_insert_or_ignore_late"](spark, DATA)
+    assert rows(found, "episode_id", "prototype_id") == rows(links.distinct())
+    assert {r.known for r in found.select("known").distinct().collect()} == {True, False}
