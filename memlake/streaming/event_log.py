@@ -11,15 +11,18 @@ from memlake.operators.latest import latest_wins
 from memlake.plans.runtime import checkpoint_dir
 
 
-def read_log(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
-    """A stream of the rows of a parquet table, `files` files a batch; the schema is that of the files there now."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path[:-1] + f"[{path[-1]}]")  # a pattern may be a file or a folder, a plain path only a folder
+def read_log(spark: SparkSession, path: str, files: int | None = 8) -> DataFrame:
+    """A stream of the rows of a parquet table, `files` files a batch (None: all that are available); the schema is that of the files there now."""
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    stream = stream if files is None else stream.option("maxFilesPerTrigger", files)
+    return stream.parquet(path[:-1] + f"[{path[-1]}]")  # a pattern may be a file or a folder, a plain path only a folder
 
 
 def closed_sessions(events: DataFrame, key: str, at: str, gap: str = "12 hours", delay: str = "1 hour") -> DataFrame:
     """(key, started, ended, n): sessions that a pause of `gap` ended; each comes out once, when the watermark of `delay` has passed its end.
 
-    Events later than the watermark are dropped; null times belong to no session.
+    Events later than the watermark are dropped, so a closed log whose files aren't in the order of time has to be read as one batch;
+    null times belong to no session.
     """
     rows = events.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", delay)
     found = rows.groupBy(key, F.session_window("_at", gap)).agg(F.count(F.lit(1)).alias("n"))

@@ -1,5 +1,6 @@
 """Operators and queries do the whole job: nothing is left out by a threshold, a modulo, a file layout or a limit."""
 
+import datetime as dt
 import os
 
 import numpy as np
@@ -67,3 +68,19 @@ def test_insert_or_ignore_takes_all_links(spark):
     found = entry.queries()["q110_insert_or_ignore_late"](spark, DATA)
     assert rows(found, "episode_id", "prototype_id") == rows(links.distinct())
     assert {r.known for r in found.select("known").distinct().collect()} == {True, False}
+
+
+def test_sessions_of_files_out_of_order(spark, tmp_path):
+    """Twenty files, the latest events first: no session is lost or cut short."""
+    import duckdb
+
+    start = dt.datetime(2025, 1, 1)
+    events = [(i, start + dt.timedelta(days=day, hours=h), i % 3) for i, (day, h) in enumerate((day, h) for day in range(20) for h in (0, 5, 10))]
+    for k in range(20):
+        part = spark.createDataFrame(events[3 * k : 3 * k + 3], "event_id long, ts timestamp_ntz, user_id int")
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+        (new,) = [f for f in (tmp_path / "events.parquet").glob("*.parquet") if not f.name.startswith("day")]
+        new = new.rename(new.with_name(f"day{k:02}.parquet"))
+        os.utime(new, (1_700_000_000 - 60 * k,) * 2)
+    want = duckdb.connect().execute(f"WITH events AS (SELECT * FROM '{tmp_path}/events.parquet/day*.parquet') SELECT user_id, started, last, n FROM ({entry.oracle_sql()['s1_closed_sessions']})").fetchall()
+    assert len(want) > 40 and rows(entry.queries()["s1_closed_sessions"](spark, str(tmp_path))) == sorted(want, key=repr)
