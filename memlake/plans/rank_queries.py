@@ -12,6 +12,7 @@ from memlake.operators.search import block_search, cosine_histogram
 from memlake.operators.vectors import bound_pairs, mean_pair_distance, mean_vectors, principal_axes
 from memlake.plans.log_queries import LAST_CANDS, candidates, schemas
 from memlake.plans.registry import registry
+from memlake.plans.runtime import broadcast_if_small
 from memlake.sources.tables import table
 
 QUERIES, SQL, query = registry()
@@ -137,7 +138,7 @@ def q51_principal_axes(s, d):
 def q54_role_binding(s, d):
     """Each vector bound with its label's centroid in two roles, and how well the first role gives it back."""
     rows = _vectors(s, d)
-    centres = F.broadcast(mean_vectors(rows, "label", "vec").select("label", "centroid").limit(10_000))  # labels; a join in shuffles beyond
+    centres = broadcast_if_small(mean_vectors(rows, "label", "vec").select("label", "centroid"), 10_000)  # labels; a join in shuffles beyond
     return bound_pairs(rows.join(centres, "label"), "vec", "centroid").select("id", F.round("recovered", 6).alias("recovered"))
 
 

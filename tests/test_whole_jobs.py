@@ -6,6 +6,7 @@ import os
 import numpy as np
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from memlake.operators import graph
@@ -84,3 +85,11 @@ def test_sessions_of_files_out_of_order(spark, tmp_path):
         os.utime(new, (1_700_000_000 - 60 * k,) * 2)
     want = duckdb.connect().execute(f"WITH events AS (SELECT * FROM '{tmp_path}/events.parquet/day*.parquet') SELECT user_id, started, last, n FROM ({entry.oracle_sql()['s1_closed_sessions']})").fetchall()
     assert len(want) > 40 and rows(entry.queries()["s1_closed_sessions"](spark, str(tmp_path))) == sorted(want, key=repr)
+
+
+def test_binding_of_many_labels(spark, tmp_path):
+    """More labels than may be broadcast: each row still has its result."""
+    n = 10_050
+    vec = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(F.col("vec_id") * i + 1).cast("float"))
+    spark.range(n).select(F.col("id").alias("vec_id"), F.col("id").cast("int").alias("label")).withColumn("embedding", vec).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert entry.queries()["q54_role_binding"](spark, str(tmp_path)).select("id").distinct().count() == n
