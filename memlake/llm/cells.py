@@ -1,15 +1,22 @@
 """Cells of near vectors, the unit of work of the operators on vectors.
 
-Pivots come from a bounded sample; every vector is indexed. The pivots of the first table stand for dense clusters. A vector
-that is near to one of them has its neighbours in the same cell and enters only the cells of such pivots; any other vector also
-enters the cell of its nearest pivot in each of a few further tables. A cell that the sample shows to be large is split into blocks
-and each pair of its blocks is a group of its own, so that no task gets an unbounded group and no pair of a cell is lost.
+Pivots come from a bounded sample; every vector is indexed. The pivots of the first table stand for dense clusters of bounded
+size. A vector that is near to one of them has its neighbours in the same cell and enters only the cells of such pivots; any
+other vector, those of large clusters too, also enters the cells of its PROBES nearest pivots in each of some further tables.
+
+The further tables' pivots are drawn as densely as the vectors lie, and as many as keep cells at about CELL vectors, so that work grows in
+proportion to the input. As two neighbours share a cell less often the more cells there are, the number of tables grows with them: it
+is set so that the expected loss is at most LOSS, measured on the pivots themselves with sampled vectors and neighbours made for them. Few vectors are compared in full.
+
+A cell that the sample shows to be larger than a block all the same (many vectors in the same direction) is split into blocks, and
+each pair of its blocks is a group of its own, so that no task gets an unbounded group and no pair of a cell is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +29,15 @@ from memlake.plans.runtime import BROADCAST_ROWS, written
 
 #: Vectors that pivots are fitted on at most (twice this number is the hard bound), whatever the input's size.
 SAMPLE = 16_384
-#: Vectors that a cell should have, and the most pivots of a table.
+#: Vectors that a cell should have, and the most pivots of a set; where more cells are needed, a second set divides them.
 CELL, MAX_PIVOTS = 6_000, 4_096
-#: Vectors in one block of a split cell.
+#: Vectors in one block of a split cell; also the largest cluster that makes a cell of its own.
 BLOCK = 12_288
+#: Cells that a vector outside of the first table's clusters enters in each further table. If no more than FEWEST cells are wanted there is
+#: one cell for all these vectors, in as many blocks: they are compared in full.
+PROBES, FEWEST = 2, 4
+#: Share of neighbours that may be expected to share no cell, and the sampled vectors it is measured with.
+LOSS, TRIED = 0.01, 2_048
 #: Sample vectors at least this similar to a pivot become no pivot themselves, so that a dense cluster keeps one cell.
 APART = 0.6
 #: A vector stays in the first table if it is this similar to its pivot; there it also enters all cells of pivots at least
@@ -33,8 +45,8 @@ APART = 0.6
 OWN, NEAR = 0.62, 0.5
 #: Copies of one vector beyond which only their smallest ids are compared.
 HEAVY = 64
-#: Pivot tables: that of the clusters, and those for the vectors outside of them.
-TABLES = 4
+#: The fewest and the most further tables.
+TABLES, MAX_TABLES = 2, 16
 
 CELL_SCHEMA = "g long, side byte, id long, vec binary"
 
@@ -111,12 +123,30 @@ def leaders(units: np.ndarray, apart: float) -> tuple[np.ndarray, np.ndarray]:
     return np.array(found, int), np.array(covers, int)
 
 
+@dataclass
+class Table:
+    """Unit rows `main` and, if more cells are needed than these can make, `second`: a cell is a pair of one of each."""
+
+    main: np.ndarray
+    second: np.ndarray | None = None
+
+    def __len__(self) -> int:
+        return len(self.main) * (1 if self.second is None else len(self.second))
+
+    def near(self, units: np.ndarray) -> np.ndarray:
+        """The PROBES nearest cells of each row."""
+        score = units @ self.main.T
+        found = np.argpartition(-score, PROBES - 1, axis=1)[:, :PROBES] if len(self.main) > PROBES else np.tile(np.arange(len(self.main)), (len(units), 1))
+        return found if self.second is None else found * len(self.second) + (units @ self.second.T).argmax(1)[:, None]
+
+
 @dataclass
 class Cells:
-    """pivots[length][table] is a matrix of unit rows; splits[length][table] the number of blocks of each cell."""
+    """Of each vector length: `first`, unit rows that stand for clusters; `tables`, the further ones; for each table, the first one at
+    place 0, `splits`, the number of blocks of its cells, and `bases`, the number of a cell's first group."""
 
-    tables: int
-    pivots: dict[int, list[np.ndarray]] = field(default_factory=dict)
+    first: dict[int, np.ndarray] = field(default_factory=dict)
+    tables: dict[int, list[Table]] = field(default_factory=dict)
     splits: dict[int, list[np.ndarray]] = field(default_factory=dict)
     bases: dict[int, list[np.ndarray]] = field(default_factory=dict)
     rare_splits: int = 1
@@ -124,7 +154,7 @@ class Cells:
     def number(self) -> Cells:
         """Gives each pair of blocks of each cell its group number, `bases` being a cell's first."""
         start = 0
-        for n in sorted(self.pivots):
+        for n in sorted(self.first):
             self.bases[n] = []
             for split in self.splits[n]:
                 sizes = split * (split + 1) // 2
@@ -146,34 +176,72 @@ def _sample(vectors: DataFrame, sample: int) -> tuple[int, dict[int, np.ndarray]
     return total, {n: np.concatenate(ms) for n, ms in found.items()}
 
 
-def fit_cells(vectors: DataFrame, tables: int = TABLES, sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK, first: dict[int, np.ndarray] | None = None) -> Cells:
-    """Pivots for `vectors` (id, vec) from a sample of at most 2 * `sample` vectors.
+def fit_cells(vectors: DataFrame, near: float = 0.7, tables: int = TABLES, sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK, first: dict[int, np.ndarray] | None = None) -> Cells:
+    """Cells for `vectors` (id, vec), fitted on a sample of at most 2 * `sample` vectors.
 
-    first: pivots that make up the first table, by length, in place of sampled ones.
+    near: the cosine from which on vectors count as neighbours; tables: the fewest further tables; first: pivots that make up the first
+    table, by length, in place of sampled ones.
     """
     total, units = _sample(vectors, sample)
     drawn = sum(map(len, units.values()))
-    cells = Cells(tables, rare_splits=max(1, -(-3 * total // max(1, min(total, sample) * block))) if total > sample else 1)
+    cells = Cells(rare_splits=max(1, -(-3 * total // max(1, min(total, sample) * block))) if total > sample else 1)
     for n, u in units.items():
         rows = total * len(u) / max(1, drawn)
         single = u.astype(np.float32)
-        at, covers = leaders(u, APART)
-        chosen = [first[n] if first and n in first else u[at[np.argsort(-covers, kind="stable")[: int(np.clip((covers > 1).sum(), 1, MAX_PIVOTS))]]]]
-        free = ~owned(single @ chosen[0].astype(np.float32).T)
-        want = int(np.clip(round(rows * free.mean() / cell), 1, MAX_PIVOTS))
-        lone = at[covers == 1] if (covers == 1).sum() >= want else at
-        chosen += [u[np.random.default_rng(t).permutation(lone)[:want]] for t in range(1, tables)]
-        cells.pivots[n], cells.splits[n] = [own.astype(np.float32) for own in chosen], []
-        for t, own in enumerate(cells.pivots[n]):
-            inside = single if t == 0 else single[free]
-            share = np.bincount((inside @ own.T).argmax(1), minlength=len(own)) / len(u)
-            cells.splits[n].append(np.maximum(1, np.ceil(share * rows / block)).astype(int))
+        if near < NEAR:  # neighbours may lie outside of a vector's cluster
+            chosen = u[:0]
+        elif first and n in first:
+            chosen = first[n]
+        else:
+            at, covers = leaders(u, APART)
+            chosen = u[at[np.argsort(-covers, kind="stable")[: min((covers > 1).sum(), MAX_PIVOTS)]]]
+        chosen = chosen.astype(np.float32)
+        scores = single @ chosen.T
+        if len(chosen):  # large clusters are left to the further tables
+            share = np.bincount(scores.argmax(1)[owned(scores)], minlength=len(chosen)) / len(u)
+            chosen, scores = chosen[share * rows <= block], scores[:, share * rows <= block]
+        free = single[~owned(scores)]
+        cells.first[n], cells.tables[n] = chosen, _tables(free if len(free) else single, rows * len(free) / len(u), near, tables, cell)
+        counts = [(scores >= NEAR).sum(0)] + [np.bincount(t.near(free).ravel(), minlength=len(t)) for t in cells.tables[n]]
+        cells.splits[n] = [np.maximum(1, np.ceil(c / len(u) * rows / block)).astype(int) for c in counts]
+        if len(cells.tables[n]) == len(cells.tables[n][0]) == 1:
+            cells.splits[n][1] = np.maximum(FEWEST, cells.splits[n][1])
     return cells.number()
 
 
+def _tables(free: np.ndarray, rows: float, near: float, least: int, cell: int) -> list[Table]:
+    """As many tables over the unit rows `free`, a sample of `rows` vectors, as neighbours of cosine halfway from `near` to 1 need."""
+    want = ceil(rows * PROBES / cell)
+    if want <= FEWEST:
+        return [Table(free[:1])]
+    free = free[np.random.default_rng(3).permutation(len(free))]
+    kept = min(TRIED, -(-len(free) // 4))  # these measure the loss and are no pivots
+    tried, free = free[:kept], free[kept if len(free) > kept else 0 :]
+    other = _made_neighbours(tried, (1 + near) / 2)
+    main = min(want, MAX_PIVOTS, len(free))
+    found: list[Table] = []
+    lost = 1.0
+    while len(found) < least or (lost > LOSS and len(found) < MAX_TABLES):
+        drawn = free[np.random.default_rng(len(found) + 1).permutation(len(free))]
+        second = drawn[main : main + -(-want // main)] if want > MAX_PIVOTS else None
+        found.append(Table(drawn[:main], second if second is not None and len(second) > 1 else None))
+        a, b = found[-1].near(tried), found[-1].near(other)
+        met = (a[:, :, None] == b[:, None, :]).any((1, 2)).mean()
+        lost *= 1 - min(met, 0.999)
+    return found
+
+
+def _made_neighbours(units: np.ndarray, cosine: float) -> np.ndarray:
+    """A unit row of the given cosine for each row, in a random direction."""
+    noise = np.random.default_rng(4).standard_normal(units.shape)
+    noise -= np.einsum("ij,ij->i", noise, units)[:, None] * units
+    noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
+    return (cosine * units + np.sqrt(1 - cosine * cosine) * noise).astype(np.float32)
+
+
 def owned(scores: np.ndarray) -> np.ndarray:
     """Rows of scores against the first table's pivots that lie in a pivot's cluster."""
-    return scores.max(1) >= OWN
+    return scores.max(1, initial=-1.0) >= OWN
 
 
 def _pair(i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -193,22 +261,22 @@ def assign(vectors: DataFrame, cells: Cells) -> DataFrame:
                 u = unit(m).astype(np.float32)
                 raw = m.tobytes()
                 mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                free = np.ones(len(ids), bool)
-                for t in range(cells.tables if n in cells.pivots else 1):
-                    inside = np.arange(len(ids)) if t == 0 else np.flatnonzero(free)
+                known = n in cells.first
+                scores = u @ cells.first[n].T if known else None
+                free = np.flatnonzero(~owned(scores)) if known else None
+                for t in range(len(cells.splits[n]) if known else 1):
+                    if not known:  # a length that the sample hasn't met
+                        inside = np.arange(len(ids))
+                        split, base = np.full(len(ids), cells.rare_splits), np.full(len(ids), -(n + 1) * 1_000_000)
+                    else:
+                        if t == 0:
+                            inside, own = np.nonzero(scores >= NEAR)
+                        else:
+                            own = cells.tables[n][t - 1].near(u[free])
+                            inside, own = np.repeat(free, own.shape[1]), own.ravel()
+                        split, base = cells.splits[n][t][own], cells.bases[n][t][own]
                     if not len(inside):
                         continue
-                    if n in cells.pivots:
-                        scores = u[inside] @ cells.pivots[n][t].T
-                        best = scores.argmax(1)
-                        if t == 0:
-                            free = ~owned(scores)
-                            scores[np.arange(len(inside)), best] = 1
-                            row, best = np.nonzero(scores >= NEAR)
-                            inside = inside[row]
-                        split, base = cells.splits[n][t][best], cells.bases[n][t][best]
-                    else:  # a length that the sample hasn't met
-                        split, base = np.full(len(inside), cells.rare_splits), np.full(len(inside), -(n + 1) * 1_000_000)
                     block = (mixed[inside] % split.astype(np.uint64)).astype(np.int64)
                     for other in range(int(split.max(initial=1))):
                         at = np.flatnonzero(split > other)

@@ -13,6 +13,7 @@ from memlake.plans.runtime import written
 
 NEIGHBOURS = pa.schema([("id", pa.int64()), ("nbr", pa.int64()), ("cosine", pa.float64())])
 
+
 def vectors_of(df: DataFrame, key: Column, vector: Column) -> DataFrame:
     """(id, vec) of the rows that have both."""
     return df.select(key.cast("long").alias("id"), vector.alias("vec")).where(F.col("id").isNotNull() & (F.size("vec") > 0))
@@ -21,7 +22,7 @@ def vectors_of(df: DataFrame, key: Column, vector: Column) -> DataFrame:
 def nearest_vectors(vectors: DataFrame, k: int = 5, least: float = -1.0, tables: int = TABLES, heavy: int = HEAVY) -> DataFrame:
     """(id, nbr, cosine): the `k` most similar other vectors of each vector of `vectors` (id long, vec array<float>).
 
-    Approximate: neighbours that share a pivot cell with the vector in none of `tables` tables are missed. Cosines below `least`
+    Approximate: neighbours that share none of the vector's cells, or collide with it on too few lines, are missed. Cosines below `least`
     don't count; equal ones (at 9 decimals) go by the smaller id. Null, empty, all-zero and non-finite vectors have no result and
     are nobody's neighbour; vectors of different lengths aren't compared; repeated rows of an id count once; an empty
     input gives an empty result. A vector that more than `heavy` rows share is compared through its smallest ids, and every
@@ -35,7 +36,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, least: float = -1.0, tables:
             found.append(top_neighbours(other_ids, other, ids, m, k, least))
         return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], schema=NEIGHBOURS)
 
-    found = per_group(assign(index, fit_cells(index, tables)), work, "id long, nbr long, cosine double")
+    found = per_group(assign(index, fit_cells(index, max(least, 0.0), tables)), work, "id long, nbr long, cosine double")
     best = _best(found, k)
     if members is not None:
         best = written(best, "best")

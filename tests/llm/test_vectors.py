@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from memlake.llm import cells as cells_module
 from memlake.llm.cells import HEAVY, assign, by_length, fit_cells, leaders, unit
 from memlake.llm.clusters import agglomerate, condense, linked_clusters, typical_members, ward, ward_centroids
-from memlake.llm.collisions import Windows, pairs_of, top_neighbours
+from memlake.llm.collisions import WIDTH, Counter, Windows, pairs_of, top_neighbours
 from memlake.llm.neardup import expand_vectors, similar_vectors
 from memlake.llm.nearest import nearest_vectors, neighbour_pairs
 
@@ -98,7 +98,7 @@ def test_split_cells_lose_nothing(spark, monkeypatch):
     df = frame(spark, m, [], False)
     monkeypatch.setattr(cells_module, "BLOCK", 40)
     cells = fit_cells(df, block=40)
-    assert max(s.max() for ss in cells.splits.values() for s in ss) > 2
+    assert max(s.max(initial=1) for ss in cells.splits.values() for s in ss) > 2
     groups = defaultdict(set)
     for g, _, i in rows(assign(df, cells), "g", "side", "id"):
         groups[g].add(i)
@@ -109,12 +109,71 @@ def test_split_cells_lose_nothing(spark, monkeypatch):
     assert all(p in met for p in near)
 
 
+def met_pairs(assigned):
+    groups = defaultdict(set)
+    for g, _, i in rows(assigned, "g", "side", "id"):
+        groups[g].add(i)
+    return groups, {(a, b) for s in groups.values() for a in s for b in s if a < b}
+
+
+def pairs_in_range(d, clusters=150, size=6, seed=11):
+    """Small groups of neighbours of cosine about 0.85, and the pairs of 0.8 or more."""
+    g = np.random.default_rng(seed)
+    centres = g.standard_normal((clusters, d)) / np.sqrt(d)
+    m = (np.repeat(centres, size, 0) + g.standard_normal((clusters * size, d)) * 0.42 / np.sqrt(d)).astype(np.float32)
+    s = cosines(m)
+    return m, [(int(a), int(b)) for a, b in np.argwhere(s >= 0.8) if a < b]
+
+
+@pytest.mark.parametrize("pivots", [4_096, 9])
+def test_many_cells_keep_neighbours_together(spark, monkeypatch, pivots):
+    """Cells of a few vectors each, made by one set of pivots or by two: tables are added until the expected loss is small."""
+    monkeypatch.setattr(cells_module, "MAX_PIVOTS", pivots)
+    m, near = pairs_in_range(64)
+    monkeypatch.setattr(cells_module, "leaders", lambda u, apart: (np.arange(len(u)), np.ones(len(u), int)))  # as when no cluster is sampled
+    cells = fit_cells(frame(spark, m, [], False), 0.7, cell=40)
+    tables = cells.tables[64]
+    assert len(tables[0]) >= 40 and len(tables) >= 2 and (tables[0].second is not None) == (pivots == 9)
+    groups, met = met_pairs(assign(frame(spark, m, [], False), cells))
+    assert np.mean([p in met for p in near]) >= 0.97
+    assert len(met) < 0.5 * len(m) ** 2 / 2 and np.mean([len(s) for s in groups.values()]) < 120
+
+
+def test_a_large_cluster_is_divided(spark):
+    """A cluster that grows beyond a block isn't compared in full: its vectors are divided like all others."""
+    g = np.random.default_rng(2)
+    m = (g.standard_normal(32) + g.standard_normal((1_200, 32)) * 0.45).astype(np.float32)
+    df = frame(spark, m, [], False)
+    cells = fit_cells(df, 0.7, cell=100, block=300)
+    assert len(cells.first[32]) == 0 and len(cells.tables[32][0]) >= 20
+    groups, met = met_pairs(assign(df, cells))
+    assert max(map(len, groups.values())) <= 600 and len(groups) >= 40
+
+
+def test_counter():
+    g = np.random.default_rng(0)
+    for n in (1, 2, 3, 7, 64, 65):
+        sets = g.random((n, 3, 128)) < 0.7
+        counter = Counter((3, 2))
+        for one in sets:
+            counter.add(np.packbits(one, axis=1, bitorder="little").view(np.uint64))
+        for threshold in (1, n // 2 + 1, n):
+            got = np.unpackbits(counter.at_least(threshold).view(np.uint8), axis=1, bitorder="little").view(bool)
+            assert (got == (sets.sum(0) >= threshold)).all()
+
+
+def test_counting_prunes():
+    """Of vectors that lie apart few become candidates, although each is searched at the widest level."""
+    u = unit(np.random.default_rng(4).standard_normal((3_000, 128))).astype(np.float32)
+    w = Windows(u)
+    bits = w.candidates(w.projected, WIDTH * np.sqrt(2 - 2 * 0.7))
+    assert np.bitwise_count(bits).sum() < 0.01 * 3_000**2
+
+
 def test_collisions_hold_all_close_vectors():
     m = planted(7, clusters=3, size=60, lone=300, d=64)
     u = unit(m).astype(np.float32)
     w = Windows(u)
-    from memlake.llm.collisions import WIDTH
-
     row, column = pairs_of(w.candidates(w.projected, WIDTH * np.sqrt(2 - 2 * 0.7)), len(u))
     found = set(zip(row.tolist(), column.tolist()))
     near = np.argwhere(u @ u.T >= 0.75)
