@@ -8,10 +8,20 @@ from pyspark.sql import functions as F
 from memlake.plans.runtime import cut
 
 
-def transitions(df: DataFrame, group: list[Column], order: list[str], node: str) -> DataFrame:
-    """(src, dst, n): how often `dst` comes directly after `src` within a group."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("_next", F.lead(node).over(w)).where("_next is not null").groupBy(F.col(node).alias("src"), F.col("_next").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+def transitions(df: DataFrame, group: Column, chunk: Column, order: list[str], node: str) -> DataFrame:
+    """(src, dst, n): how often `dst` comes directly after `src` within a group.
+
+    chunk: an expression that never falls along the order, such as a short stretch of time. Rows are ordered within a chunk, and only the first
+    and the last row of each chunk meet by group, so that a group may hold any share of the rows. A null node breaks the chain; a null group is one.
+    """
+    rows = df.select(group.alias("_group"), chunk.alias("_chunk"), *order, F.col(node).alias("_node"))
+    w = Window.partitionBy("_group", "_chunk").orderBy(*order)
+    # one struct tells a row's end from a null node
+    marked = rows.withColumns({"_next": F.lead(F.struct("_node")).over(w), "_first": F.lag(F.lit(1)).over(w).isNull()})
+    inside = marked.where("_next is not null").select(F.col("_node").alias("src"), F.col("_next._node").alias("dst"))
+    ends = marked.groupBy("_group", "_chunk").agg(F.max(F.when(F.col("_first"), F.col("_node"))).alias("a"), F.max(F.when(F.col("_next").isNull(), F.col("_node"))).alias("src"))
+    across = ends.select("src", F.lead("a").over(Window.partitionBy("_group").orderBy("_chunk")).alias("dst"))
+    return inside.unionByName(across).where("src is not null and dst is not null").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
 def probabilities(counts: DataFrame) -> DataFrame:

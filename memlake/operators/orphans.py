@@ -1,23 +1,24 @@
 """References whose target is missing, deleted or younger than the reference.
 
-Parent keys become a blocked Bloom filter, one 64-bit word per block, built by a grouped `bit_or` and broadcast. A
-reference that the filter rejects is proved to be an orphan and skips the exact join; only the references that it lets
-pass are joined with the parents.
+Parent keys become a blocked Bloom filter, one 64-bit word per block, built by a grouped `bit_or`. A reference that the filter
+rejects is proved to be an orphan and skips the exact join; only the references that it lets pass are joined with the parents.
+
+The filter grows with the keys, so that it always rejects alike. It is broadcast in parts of bounded size, each to the references
+whose blocks it holds; a filter of more than MAX_PARTS parts meets the references in a shuffle by block.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.plans.runtime import written
 
-#: Keys for each 64-bit block of the filter, and the most blocks that are broadcast (about 40 MB in a hash relation).
-KEYS_PER_BLOCK, MAX_BLOCKS = 5, 1 << 19
-#: Beyond this many keys per block the filter would let nearly everything pass: the exact join alone is used.
-FULL_BLOCK = 24
+#: Keys for each 64-bit block of the filter, the most blocks of a part (about 40 MB in a hash relation), and the most parts that are broadcast.
+KEYS_PER_BLOCK, MAX_BLOCKS, MAX_PARTS = 5, 1 << 19, 8
 
 
 @dataclass(frozen=True)
@@ -52,11 +53,30 @@ def _mask(key: Column) -> Column:
 
 
 def bloom_filter(parents: DataFrame, blocks: int) -> DataFrame:
-    """(target, block, word) of the parents' keys; at most `blocks` rows, whatever the parents' size."""
+    """(block, word) of the parents' keys; at most `blocks` rows."""
     hashed = F.struct("target", "key")
     return parents.groupBy(_block(hashed, blocks).alias("block")).agg(F.bit_or(_mask(hashed)).alias("word"))
 
 
+def probed(refs: DataFrame, parents: DataFrame, keys: int) -> DataFrame:
+    """`refs` (target, key, ...) with `passes`: false proves that `parents` (target, key), `keys` in number, lacks the key."""
+    blocks = max(1, -(-keys // KEYS_PER_BLOCK))
+    hashed = F.struct("target", "key")
+    words, columns = bloom_filter(parents, blocks), refs.columns
+    rows = refs.withColumn("block", _block(hashed, blocks))
+    parts = -(-blocks // MAX_BLOCKS)
+    if parts == 1:
+        met = rows.join(F.broadcast(words), "block", "left")  # at most MAX_BLOCKS rows
+    elif parts <= MAX_PARTS:
+        words = written(words, "filter")
+        inside = lambda df, p: df.where(F.floor(F.col("block") / MAX_BLOCKS) == p)
+        met = reduce(DataFrame.unionByName, [inside(rows, p).join(F.broadcast(inside(words, p)), "block", "left") for p in range(parts)])
+    else:
+        met = rows.join(words, "block", "left")
+    mask = _mask(hashed)
+    return met.select(*columns, F.coalesce(F.col("word").bitwiseAND(mask) == mask, F.lit(False)).alias("passes"))
+
+
 def find_orphans(references: list[Reference], deletions: DataFrame) -> DataFrame:
     """Distinct (ref_field, ref_month, missing_key, orphan_kind) of all references; see TESTDATA.md, p2_found.
 
@@ -86,23 +106,12 @@ def find_orphans(references: list[Reference], deletions: DataFrame) -> DataFrame
             )
             parents = own if parents is None else parents.unionByName(own)
     parents = written(parents, "parents")
-    keys = parents.count()
-    blocks = max(1, min(MAX_BLOCKS, -(-keys // KEYS_PER_BLOCK)))
-    if keys <= FULL_BLOCK * blocks:
-        refs = written(refs, "references")
-        hashed = F.struct("target", "key")
-        words = F.broadcast(bloom_filter(parents, blocks))  # at most MAX_BLOCKS rows
-        probed = refs.withColumn("block", _block(hashed, blocks)).join(words, "block", "left").withColumn("mask", _mask(hashed))
-        passes = F.coalesce(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False))
-        orphans = probed.where(~passes).select("ref_field", "target", "key", "ref_month")
-        rest = probed.where(passes).select(*refs.columns)
-    else:
-        orphans, rest = None, refs
+    found = probed(written(refs, "references"), parents, parents.count())
+    orphans = found.where("not passes").select("ref_field", "target", "key", "ref_month")
+    rest = found.where("passes").drop("passes")
     verified = rest.join(parents.withColumn("has", F.lit(True)), ["target", "key"], "left")
     late = verified.where(F.col("first_ref") < F.col("first_parent")).select("ref_field", "ref_month", F.col("key").alias("missing_key"), F.lit("late").alias("orphan_kind"))
-    absent = verified.where(F.col("has").isNull()).select("ref_field", "target", "key", "ref_month")
-    if orphans is not None:
-        absent = absent.unionByName(orphans)
+    absent = verified.where(F.col("has").isNull()).select("ref_field", "target", "key", "ref_month").unionByName(orphans)
     gone = deletions.select("target", "key").where(F.col("key").isNotNull()).distinct().withColumn("gone", F.lit(True))
     kinds = absent.join(gone, ["target", "key"], "left").select(
         "ref_field", "ref_month", F.col("key").alias("missing_key"), F.when(F.col("gone"), "deleted").otherwise("missing").alias("orphan_kind")

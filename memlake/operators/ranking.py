@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from memlake.functions.columns import clamp
 
@@ -15,16 +16,39 @@ def reciprocal(rank: Column, k: int = 60, weight: float = 1.0) -> Column:
     return F.coalesce(F.lit(weight) / (F.lit(k) + rank), F.lit(0.0))
 
 
-def pool_z(x: Column, pool: str) -> Column:
-    """Deviation from the pool's mean in (population) deviations of 0.02 at least, between -4 and 6; 0 in pools of fewer than 3 values."""
-    w = Window.partitionBy(pool)
-    z = (x - F.avg(x).over(w)) / F.greatest(F.lit(0.02), F.stddev_pop(x).over(w))
-    return F.when(F.count(x).over(w) >= 3, clamp(z, -4.0, 6.0)).otherwise(0.0)
+def with_pool(df: DataFrame, pool: str, **measures: Column) -> DataFrame:
+    """`df` with aggregates of each row's pool, folded on the map side and joined back, so that a pool may hold any share of the rows."""
+    own = df.groupBy(F.col(pool).alias("_pool")).agg(*[m.alias(k) for k, m in measures.items()])
+    return df.join(own, F.col(pool).eqNullSafe(F.col("_pool"))).drop("_pool")
+
+
+def pool_z(df: DataFrame, pool: str, x: str) -> DataFrame:
+    """`df` with `z`: x's deviation from the pool's mean in (population) deviations of 0.02 at least, between -4 and 6; 0 in pools of fewer than 3 values."""
+    rows = with_pool(df, pool, _mean=F.avg(x), _spread=F.stddev_pop(x), _n=F.count(x))
+    z = (F.col(x) - F.col("_mean")) / F.greatest(F.lit(0.02), F.col("_spread"))
+    return rows.withColumn("z", F.when(F.col("_n") >= 3, clamp(z, -4.0, 6.0)).otherwise(0.0)).drop("_mean", "_spread", "_n")
 
 
 def admitted(df: DataFrame, pool: str, probability: str, least: float, best: float) -> DataFrame:
     """Rows of at least `least`, of pools whose best row reaches `best`; other pools are left empty."""
-    return df.withColumn("_best", F.max(probability).over(Window.partitionBy(pool))).where((F.col("_best") >= best) & (F.col(probability) >= least)).drop("_best")
+    return with_pool(df, pool, _best=F.max(probability)).where((F.col("_best") >= best) & (F.col(probability) >= least)).drop("_best")
+
+
+def tied_rank(df: DataFrame, pool: str, value: str, name: str, fine: int = 1_024) -> DataFrame:
+    """`df` with the rank of each row in its pool by falling `value`: equal values share a rank, the next one skips; null for null, NaN is highest.
+
+    Rows are ordered within a pool's buckets of 1 / `fine`; the ranks begin after the number of rows in higher buckets, so that no pool is ordered
+    in one task, unless its values are all in one bucket.
+    """
+    x = F.col(value)
+    bucket = F.when(F.isnan(x), F.lit((1 << 62) + 1)).when(x.isNotNull(), F.floor(F.greatest(F.lit(-4e15), F.least(F.lit(4e15), x.cast("double"))) * fine))
+    rows = df.withColumn("_bucket", bucket)
+    counts = rows.where("_bucket is not null").groupBy(F.col(pool).alias("_pool"), F.col("_bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    higher = Window.partitionBy("_pool").orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pool", "_b", F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_above"))
+    met = rows.join(offsets, F.col(pool).eqNullSafe(F.col("_pool")) & (F.col("_bucket") == F.col("_b")), "left")
+    own = F.rank().over(Window.partitionBy(pool, "_bucket").orderBy(x.desc()))
+    return met.withColumn(name, F.when(F.col("_bucket").isNotNull(), F.col("_above") + own)).drop("_bucket", "_pool", "_b", "_above")
 
 
 def diverse(df: DataFrame, pool: str, kind: str, order: list[Column], cap: int = 2) -> DataFrame:
@@ -67,17 +91,24 @@ def mmr(df: DataFrame, pool: str, item: str, score: str, vector: str, k: int = 5
     return df.groupBy(pool).applyInPandas(choose, f"{pool} long, {item} long, place int")
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two short lists, one row of the table at a time, in the JVM."""
-    zero = F.transform(F.concat(F.array(F.lit(None).cast("string")), b), lambda _: F.lit(0))
+def _common(x: list, y: list) -> int:
+    if x is None or y is None:
+        return 0
+    places: dict = {}
+    for i, v in enumerate(y):
+        places[v] = places.get(v, 0) | (1 << i)
+    row = full = (1 << len(y)) - 1
+    for v in x:
+        met = row & places.get(v, 0)
+        row = ((row + met) | (row - met)) & full
+    return len(y) - row.bit_count()
 
-    def row(before: Column, x: Column) -> Column:
-        # each cell takes the best of left, above and, where equal, the diagonal
-        def cell(out: Column, j: Column) -> Column:
-            above, diagonal = F.element_at(before, j + 1), F.element_at(before, j)
-            best = F.greatest(F.element_at(out, -1), above, F.when(F.element_at(b, j) == x, diagonal + 1).otherwise(0))
-            return F.array_append(out, best)
 
-        return F.when(F.size(b) > 0, F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), cell)).otherwise(before)
+@F.pandas_udf(IntegerType())
+def _common_lengths(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([_common(x, y) for x, y in zip(a, b)], dtype="int32")
 
-    return F.element_at(F.aggregate(a, zero, row), -1)
+
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two lists, a line of the table as one number's bits; 0 for an empty or null list."""
+    return _common_lengths(a, b)

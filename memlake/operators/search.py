@@ -7,23 +7,32 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors of one pass over the rows.
-QUERIES = 20_000
+#: Query vectors of one pass over the rows, and those and the rows that are multiplied at once.
+QUERIES, TILE, ROWS = 20_000, 2_000, 1_000
 
 
 def _matrix(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and unit rows of the usable vectors of one length."""
-    ids, rows = [], []
-    for i, v in zip(batch.column("id").to_pylist(), batch.column("vec").to_pylist()):
-        if i is not None and v and len(v) == width and None not in v:
-            a = np.asarray(v, np.float64)
-            if np.isfinite(a).all() and a.any():
-                ids.append(i)
-                rows.append(a / np.sqrt(a @ a))
-    return np.array(ids, np.int64), np.array(rows).reshape(-1, width)
+    keep = pc.and_(pc.is_valid(batch.column("id")), pc.equal(pc.list_value_length(batch.column("vec")), width)).fill_null(False)
+    own = batch.filter(keep)
+    flat = own.column("vec").flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # nulls are NaN
+    m = flat.reshape(-1, width)
+    good = np.isfinite(m).all(1) & (m != 0).any(1)
+    m = m[good] / np.abs(m[good]).max(1, initial=0, keepdims=True)
+    return own.column("id").to_numpy(zero_copy_only=False)[good].astype(np.int64), m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places of queries, ids of rows, cosines at 6 decimals) of bounded parts of the product."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            own, m = _matrix(batch.slice(at, ROWS), width)
+            for start in range(0, len(ids) if len(own) else 0, TILE):
+                yield np.arange(start, min(start + TILE, len(ids))), own, np.round(q[start : start + TILE] @ m.T, 6)
 
 
 def _passes(queries: DataFrame, block: int) -> Iterator[pa.Table]:
@@ -46,16 +55,12 @@ def block_search(rows: DataFrame, queries: DataFrame, k: int, width: int, same:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-            for batch in batches:
-                own, m = _matrix(batch, width)
-                if not len(own) or not len(ids):
-                    continue
-                score = np.round(q @ m.T, 6)
+            for places, own, score in _tiles(batches, ids, q, width):
                 if same:
-                    score[ids[:, None] == own[None, :]] = -2
+                    score[ids[places][:, None] == own[None, :]] = -2
                 keep = score >= (np.partition(score, len(own) - k, axis=1)[:, len(own) - k, None] if len(own) > k else -1.5)
                 a, b = np.nonzero(keep & (score > -1.5))
-                a, b, s = np.concatenate([best[0], a]), np.concatenate([best[1], own[b]]), np.concatenate([best[2], score[a, b]])
+                a, b, s = np.concatenate([best[0], places[a]]), np.concatenate([best[1], own[b]]), np.concatenate([best[2], score[a, b]])
                 order = np.lexsort((b, -s, a))
                 a, b, s = a[order], b[order], s[order]
                 top = np.arange(len(a)) - np.searchsorted(a, a, "left") < k
@@ -78,9 +83,8 @@ def cosine_histogram(rows: DataFrame, queries: DataFrame, width: int, step: floa
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, int] = {}
-            for batch in batches:
-                own, m = _matrix(batch, width)
-                score = np.round(q @ m.T, 6)[ids[:, None] != own[None, :]] if len(own) and len(ids) else np.empty(0)
+            for places, own, score in _tiles(batches, ids, q, width):
+                score = score[ids[places][:, None] != own[None, :]]
                 for b, n in zip(*np.unique(np.floor(np.round(score / step, 6)).astype(np.int64), return_counts=True)):
                     total[int(b)] = total.get(int(b), 0) + int(n)
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["bin", "n"])

@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.plans.runtime import written
+
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?](?!\s|$)[^.!?\n]*)*(?:[.!?]+|\n|$)\s*", re.S)
 
 
@@ -39,7 +42,57 @@ def sentence_windows(texts: DataFrame, most: int = 1_024) -> DataFrame:
     return texts.where("text is not null").mapInPandas(run, f"id {kind}, start int, stop int")
 
 
-def first_fitting_pages(rows: DataFrame, group: str, item: str, size: str, budget: int) -> DataFrame:
-    """(group, item, page): items in order, a page for each `budget` of running size; an item belongs to the page in which it begins."""
-    before = F.sum(size).over(Window.partitionBy(group).orderBy(item).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.select(group, item, F.floor(F.coalesce(before, F.lit(0)) / budget).alias("page"))
+def budget_pages(rows: DataFrame, group: str, item: str, size: str, budget: int) -> DataFrame:
+    """(group, item, page): items in order, each on the open page while it fits `budget` (at least 1), else on a new one.
+
+    An item larger than the budget has a page of its own; null sizes count 0, null items come first; items should be unique within a group. The group
+    is text, the item a long. A group may span any number of tasks: rows are ordered by range, each task tells for every possible fill of the
+    page that is open when its stretch of a group begins how many pages it closes and what fill it leaves (budget + 1 states), these
+    few states are chained, and a second pass numbers the pages.
+    """
+    ordered = rows.select(F.col(group).alias("g"), F.col(item).cast("long").alias("i"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("s"))
+    ordered = ordered.repartitionByRange("g", "i").sortWithinPartitions("g", "i").withColumn("part", F.spark_partition_id())
+    ordered = written(ordered, "ordered")
+
+    def states(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i", na_position="first")
+        closed, fill = _run(pdf["s"].to_numpy(), np.arange(budget + 1), budget)[:2]
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "part": [pdf["part"].iloc[0]], "closed": [closed.tolist()], "fill": [fill.tolist()]})
+
+    stretches = ordered.groupBy("g", "part").applyInPandas(states, "g string, part int, closed array<long>, fill array<long>")
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        page, fill, out = 0, 0, []
+        for part, closed, left in sorted(zip(pdf["part"], pdf["closed"], pdf["fill"]), key=lambda r: r[0]):
+            out.append((pdf["g"].iloc[0], part, page, fill))
+            page, fill = page + int(closed[fill]), int(left[fill])
+        return pd.DataFrame(out, columns=["g", "part", "page", "fill"])
+
+    begins = stretches.groupBy("g").applyInPandas(chain, "g string, part int, page long, fill long")
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i", na_position="first")
+        pages = _run(pdf["s"].to_numpy(), np.array([pdf["fill"].iloc[0]]), budget)[2]
+        return pd.DataFrame({group: pdf["g"], item: pdf["i"], "page": pdf["page"].iloc[0] + pages})
+
+    met = ordered.join(begins, ordered["g"].eqNullSafe(begins["g"]) & (ordered["part"] == begins["part"])).select(ordered["g"], ordered["part"], "i", "s", "page", "fill")
+    return met.groupBy("g", "part").applyInPandas(number, f"{group} string, {item} long, page long")
+
+
+def _run(sizes: np.ndarray, fills: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pages closed and the fill left for each fill to begin with, and the page of each item for the first of these.
+
+    An open page of fill 0 holds nothing and is never closed for an item. Fills that have become equal go on as one.
+    """
+    before, own = np.zeros(len(fills), np.int64), np.arange(len(fills))
+    fill, closed, pages = np.minimum(fills, budget).astype(np.int64), np.zeros(len(fills), np.int64), np.empty(len(sizes), np.int64)
+    for at, size in enumerate(np.minimum(sizes, budget).tolist()):
+        over = (fill > 0) & (fill + size > budget)
+        closed += over
+        fill = np.where(over, size, fill + size)
+        pages[at] = before[0] + closed[own[0]]
+        if len(fill) > 1 and at % 16 == 15:
+            before += closed[own]
+            fill, same = np.unique(fill, return_inverse=True)
+            own, closed = same[own], np.zeros(len(fill), np.int64)
+    return before + closed[own], fill[own], pages

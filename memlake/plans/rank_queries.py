@@ -12,7 +12,7 @@ from memlake.operators.search import block_search, cosine_histogram
 from memlake.operators.vectors import bound_pairs, mean_pair_distance, mean_vectors, principal_axes
 from memlake.plans.log_queries import LAST_CANDS, candidates, schemas
 from memlake.plans.registry import registry
-from memlake.plans.runtime import broadcast_if_small
+from memlake.plans.runtime import broadcast_if_small, written
 from memlake.sources.tables import table
 
 QUERIES, SQL, query = registry()
@@ -111,9 +111,11 @@ def q41_cosine_distribution(s, d):
     return cosine_histogram(rows, rows.where("id % 100 = 0"), WIDTH)
 
 
-@query("""SELECT label, CAST(pos - 1 AS BIGINT) AS pos, round(avg(x), 6) AS v, count(*) AS n FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2""")
+@query("""SELECT label, CAST(pos - 1 AS BIGINT) AS pos, round(avg(x), 6) AS v, count(*) AS n, any_value(variance) AS variance FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)
+JOIN (SELECT label, round(sum(v), 6) AS variance FROM (SELECT label, var_pop(x) AS v FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY label, pos) GROUP BY 1) USING (label) GROUP BY 1, 2""")
 def q43_centroids(s, d):
-    return mean_vectors(_vectors(s, d), "label", "vec").select("label", "n", F.posexplode("centroid").alias("pos", "v")).select("label", F.col("pos").cast("long").alias("pos"), F.round("v", 6).alias("v"), "n")
+    rows = mean_vectors(_vectors(s, d), "label", "vec").select("label", "n", F.round("variance", 6).alias("variance"), F.posexplode("centroid").alias("pos", "v"))
+    return rows.select("label", F.col("pos").cast("long").alias("pos"), F.round("v", 6).alias("v"), "n", "variance")
 
 
 @query(f"""SELECT a.label, round(avg(1 - list_cosine_similarity(a.v, b.v)), 6) AS distance FROM {_V} a JOIN {_V} b ON a.label = b.label AND a.id < b.id GROUP BY 1""")
@@ -131,7 +133,9 @@ def q49_mmr(s, d):
 
 @query()
 def q51_principal_axes(s, d):
-    return principal_axes(_vectors(s, d), "label", "vec", WIDTH).withColumn("strength", F.round("strength", 6))
+    """The four strongest axes of each label's vectors, the strength of each and its largest component."""
+    rows = principal_axes(_vectors(s, d), "label", "vec", WIDTH)
+    return rows.select("label", "axis", F.round("strength", 6).alias("strength"), F.round(F.array_max("direction"), 6).alias("largest"), (F.array_position("direction", F.array_max("direction")) - 1).alias("place"))
 
 
 @query()
@@ -153,8 +157,7 @@ _RANKS = f"""SELECT *, CASE WHEN dense_cosine IS NULL THEN NULL ELSE rank() OVER
 
 
 def _ranked(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("retrieval_id").orderBy(F.col("dense_cosine").desc_nulls_last())
-    return candidates(s, d).withColumn("dense_rank", F.when(F.col("dense_cosine").isNotNull(), F.rank().over(w)))
+    return ranking.tied_rank(written(candidates(s, d), "candidates"), "retrieval_id", "dense_cosine", "dense_rank")
 
 
 @query(f"""SELECT retrieval_id, candidate_kind, candidate_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY retrieval_id ORDER BY score DESC, candidate_kind, candidate_id) AS place FROM (
@@ -176,7 +179,7 @@ def q20_weighted_rrf(s, d):
 @query(f"""SELECT retrieval_id, candidate_kind, candidate_id, round(CASE WHEN count(dense_cosine) OVER w >= 3 THEN least(6.0, greatest(-4.0, (dense_cosine - avg(dense_cosine) OVER w) / greatest(0.02, stddev_pop(dense_cosine) OVER w))) ELSE 0 END, 5) AS z FROM {LAST_CANDS} WHERE dense_cosine IS NOT NULL WINDOW w AS (PARTITION BY retrieval_id)""")
 def q22_pool_zscore(s, d):
     rows = candidates(s, d).where("dense_cosine is not null")
-    return rows.select("retrieval_id", "candidate_kind", "candidate_id", F.round(ranking.pool_z(F.col("dense_cosine"), "retrieval_id"), 5).alias("z"))
+    return ranking.pool_z(rows, "retrieval_id", "dense_cosine").select("retrieval_id", "candidate_kind", "candidate_id", F.round("z", 5).alias("z"))
 
 
 @query(f"""SELECT retrieval_id, candidate_kind, candidate_id, round(p, 6) AS p FROM (SELECT *, max(p) OVER (PARTITION BY retrieval_id) AS best FROM (SELECT *, 1 / (1 + exp(-(4 * coalesce(dense_cosine, 0) + 3 * coalesce(applicability, 0) - 3))) AS p FROM {LAST_CANDS})) WHERE best >= 0.8 AND p >= 0.6""")
@@ -188,7 +191,10 @@ def q23_admission(s, d):
 
 @query(f"SELECT retrieval_id, candidate_kind, candidate_id, dense_rank FROM ({_RANKS}) WHERE dense_rank <= 3")
 def q72_tied_ranks(s, d):
-    return _ranked(s, d).where("dense_rank <= 3").select("retrieval_id", "candidate_kind", "candidate_id", F.col("dense_rank").cast("long").alias("dense_rank"))
+    # a rank below a constant is limited within each task before the shuffle
+    w = Window.partitionBy("retrieval_id").orderBy(F.desc("dense_cosine"))
+    rows = candidates(s, d).where("dense_cosine is not null").withColumn("dense_rank", F.rank().over(w)).where("dense_rank <= 3")
+    return rows.select("retrieval_id", "candidate_kind", "candidate_id", F.col("dense_rank").cast("long").alias("dense_rank"))
 
 
 @query(f"""SELECT retrieval_id, candidate_kind, candidate_id FROM (SELECT *, row_number() OVER (PARTITION BY retrieval_id, candidate_kind ORDER BY applicability DESC NULLS LAST, candidate_id) AS k FROM {LAST_CANDS}) WHERE k <= 2""")
@@ -210,7 +216,7 @@ def _steps(s: SparkSession, d: str) -> DataFrame:
 
 
 def _counts(s: SparkSession, d: str) -> DataFrame:
-    return graph.transitions(_steps(s, d), [F.floor(F.col("ts") / 86_400)], ["ts", "id"], "p")
+    return graph.transitions(_steps(s, d), F.floor(F.col("ts") / 86_400), F.floor(F.col("ts") / 60), ["ts", "id"], "p")
 
 
 _NODES = f"(SELECT id AS node FROM semantic_prototypes WHERE id IS NOT NULL UNION SELECT p FROM ({_LINKS}))"
@@ -234,7 +240,7 @@ def q33_transition_prob(s, d):
 SELECT coalesce(a.src, b.src) AS src, coalesce(a.dst, b.dst) AS dst, round(coalesce(a.w, 0) * 0.9 + coalesce(b.w, 0) * 0.1, 9) AS weight FROM a FULL JOIN b ON a.src = b.src AND a.dst = b.dst""")
 def q35_edge_average(s, d):
     steps = _steps(s, d).withColumn("day", F.floor(F.col("ts") / 86_400))
-    half = lambda h: graph.probabilities(graph.transitions(steps.where(F.col("day") % 2 == h), [F.col("day")], ["ts", "id"], "p"))
+    half = lambda h: graph.probabilities(graph.transitions(steps.where(F.col("day") % 2 == h), F.col("day"), F.floor(F.col("ts") / 60), ["ts", "id"], "p"))
     return graph.moving_average(half(0), half(1)).withColumn("weight", F.round("weight", 9))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions.columns import DAY, clamp, epoch, normalised, tokens
 from memlake.operators import graph
-from memlake.operators.windows import first_fitting_pages, sentence_windows
+from memlake.operators.windows import budget_pages, sentence_windows
 from memlake.plans.log_queries import LAST_CALLS, LAST_CANDS, LAST_EPISODES, LAST_RUNS, LAST_SCHEMAS, NOW, calls, candidates, episodes, runs, schemas
 from memlake.plans.rank_queries import _TRANS, _counts
 from memlake.plans.registry import registry
@@ -130,10 +130,10 @@ def q97_previews(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", F.length("text").cast("long").alias("n"), F.substring(F.sha2("text", 256), 1, 16).alias("digest"), short.alias("preview"))
 
 
-@query("""SELECT id, strftime(make_timestamp(first_formed_ts * 1000000), '[%Y-%m-%d] ') || substr(content_text, 1, 40) AS line, strftime(make_timestamp(first_formed_ts * 1000000), '%Y-%m') AS month FROM """ + LAST_SCHEMAS)
+@query("""SELECT id, strftime(make_timestamp(first_formed_ts * 1000000), '[%Y-%m-%d] ') || content_text AS line, strftime(make_timestamp(first_formed_ts * 1000000), '%Y-%m') AS month FROM """ + LAST_SCHEMAS)
 def q98_dated_lines(s, d):
     at = F.timestamp_seconds("first_formed_ts")
-    return schemas(s, d).select("id", F.concat(F.date_format(at, "'['yyyy-MM-dd'] '"), F.substring("content_text", 1, 40)).alias("line"), F.date_format(at, "yyyy-MM").alias("month"))
+    return schemas(s, d).select("id", F.concat(F.date_format(at, "'['yyyy-MM-dd'] '"), F.col("content_text")).alias("line"), F.date_format(at, "yyyy-MM").alias("month"))
 
 
 @query("""WITH t AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(content_text), '[\\p{L}\\p{N}]+')) AS term FROM memory_schemas), f AS (SELECT term, count(*) AS df FROM t GROUP BY 1)
@@ -170,11 +170,13 @@ def q103_sentence_windows(s, d):
     return sentence_windows(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query(f"""SELECT coalesce(scope_id, 'none') AS scope, id, CAST(floor(coalesce(sum(length(content_text)) OVER (PARTITION BY coalesce(scope_id, 'none') ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 2000) AS BIGINT) AS page FROM {LAST_SCHEMAS}""")
+@query(f"""WITH RECURSIVE c AS (SELECT coalesce(scope_id, 'none') AS scope, id, least(2000, length(content_text)) AS size, row_number() OVER (PARTITION BY coalesce(scope_id, 'none') ORDER BY id) AS k FROM {LAST_SCHEMAS}),
+r(scope, id, k, fill, page) AS (SELECT scope, id, k, size, CAST(0 AS BIGINT) FROM c WHERE k = 1 UNION ALL SELECT c.scope, c.id, c.k, CASE WHEN r.fill > 0 AND r.fill + c.size > 2000 THEN c.size ELSE r.fill + c.size END, r.page + CASE WHEN r.fill > 0 AND r.fill + c.size > 2000 THEN 1 ELSE 0 END FROM r JOIN c ON c.scope = r.scope AND c.k = r.k + 1)
+SELECT scope, id, page FROM r""")
 def q104_pages(s, d):
-    """The page of each claim in its scope, when pages take claims in order until 2,000 characters are full."""
+    """The page of each claim in its scope: a page takes claims in order while they fit 2,000 characters."""
     rows = schemas(s, d).select(F.coalesce("scope_id", F.lit("none")).alias("scope"), "id", F.length("content_text").alias("size"))
-    return first_fitting_pages(rows, "scope", "id", "size", 2_000)
+    return budget_pages(rows, "scope", "id", "size", 2_000)
 
 
 @query(f"""SELECT r.key AS retrieval_id, selected_total, coalesce(n, 0) AS delivered, selected_total - coalesce(n, 0) AS difference FROM (SELECT *, lower(trim(retrieval_id)) AS key FROM {LAST_RUNS}) r LEFT JOIN (SELECT retrieval_id, count(*) AS n FROM {LAST_CANDS} WHERE decision = 'selected' GROUP BY 1) c ON c.retrieval_id = r.key WHERE selected_total <> coalesce(n, 0)""")

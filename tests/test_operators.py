@@ -1,20 +1,23 @@
 """Core operators on small inputs: nulls, ties, repeats, empty tables, clashing names."""
 
 import datetime as dt
+import os
 
 import numpy as np
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from memlake.functions.columns import cosine, ladder, stem, time_code
-from memlake.operators import graph, ranking
+from memlake.operators import graph, orphans, ranking
 from memlake.operators.buckets import bucketed
 from memlake.operators.latest import add_missing, complete, latest_wins, upsert, without
-from memlake.operators.lexical import bm25
+from memlake.operators.lexical import bm25, contrastive_terms
 from memlake.operators.orphans import Reference, bloom_filter, find_orphans, orphan_report, text_key
 from memlake.operators.search import block_search, cosine_histogram
-from memlake.operators.vectors import bind, mean_pair_distance, mean_vectors, principal_axes, role_vector, unbind
-from memlake.operators.windows import first_fitting_pages, sentence_windows
+from memlake.operators.vectors import bind, bound_pairs, mean_pair_distance, mean_vectors, principal_axes, role_vector, unbind
+from memlake.operators.windows import budget_pages, sentence_windows
+from memlake.plans import runtime
 from memlake.streaming.event_log import closed_sessions, drained, latest_snapshot, read_log, windowed
 
 D = dt.datetime
@@ -44,16 +47,21 @@ def test_orphans_of_empty_tables(spark):
     assert rows(find_orphans([reference(children.limit(0), none)], gone)) == []
 
 
-def test_orphans_without_filter_agree(spark, monkeypatch):
-    import memlake.operators.orphans as module
-
+@pytest.mark.parametrize("parts", [1, 8])
+def test_orphans_of_many_keys(spark, monkeypatch, parts):
+    """A filter in several parts, or in a shuffle, proves as many orphans as one that is broadcast whole."""
     children = spark.range(2_000).select((F.col("id") * 3).cast("string").alias("k"), F.lit(D(2025, 1, 1)).alias("at"))
     parents = spark.range(3_000).select("id", F.lit(D(2024, 1, 1)).alias("at"))
     gone = spark.createDataFrame([("p", "5997")], "target string, key string")
-    with_filter = rows(find_orphans([reference(children, parents)], gone))
-    assert len(with_filter) == 1_000
-    monkeypatch.setattr(module, "MAX_BLOCKS", 1)
-    assert rows(find_orphans([reference(children, parents)], gone)) == with_filter
+    whole = rows(find_orphans([reference(children, parents)], gone))
+    assert len(whole) == 1_000
+    monkeypatch.setattr(orphans, "MAX_BLOCKS", 100)
+    monkeypatch.setattr(orphans, "MAX_PARTS", parts)
+    assert rows(find_orphans([reference(children, parents)], gone)) == whole
+    keys = lambda df, c: df.select(F.lit("p").alias("target"), text_key(F.col(c)).alias("key"))
+    found = orphans.probed(keys(children, "k"), keys(parents, "id"), 3_000)
+    assert found.count() == 2_000 and found.where("not passes").count() >= 900
+    assert found.where("not passes").join(keys(parents, "id"), "key", "left_semi").count() == 0
 
 
 def test_bloom_filter_is_bounded(spark):
@@ -96,7 +104,28 @@ def test_bm25(spark):
     cues = spark.createDataFrame([(9, "RED, zebra"), (8, None), (7, "")], "cue_id long, text string")
     found = rows(bm25(docs, cues), "cue_id", "doc_id", "rank")
     assert found == [(9, 1, 1), (9, 6, 2)]
-    assert rows(bm25(docs.limit(0), cues)) == []
+    assert rows(bm25(docs.limit(0), cues)) == [] and rows(bm25(docs, cues.limit(0))) == []
+
+
+def test_bm25_in_blocks(spark):
+    """Blocks of cues, ties and statistics as a loop over all documents gives them."""
+    g = np.random.default_rng(6)
+    word = lambda n: " ".join(f"w{int(x)}" for x in g.zipf(1.5, n) % 40)
+    texts, asked = [word(int(n)) for n in g.integers(1, 30, 200)], [word(5) for _ in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    cues = spark.createDataFrame(list(enumerate(asked)), "cue_id long, text string")
+    lists, n = [t.split() for t in texts], len(texts)
+    mean, want = np.mean([len(x) for x in lists]), []
+    for c, cue in enumerate(asked):
+        scores = []
+        for i, x in enumerate(lists):
+            own = set(cue.split()) & set(x)
+            idf = {t: max(1e-6, np.log((n - sum(t in y for y in lists) + 0.5) / (sum(t in y for y in lists) + 0.5))) for t in own}
+            if own:
+                scores.append((-round(sum(idf[t] * x.count(t) * 2.2 / (x.count(t) + 1.2 * (0.25 + 0.75 * len(x) / mean)) for t in own), 6), i))
+        want += [(c, i, r + 1) for r, (_, i) in enumerate(sorted(scores)[:10])]
+    for block in (5, 100):
+        assert rows(bm25(docs, cues, block=block), "cue_id", "doc_id", "rank") == sorted(want, key=repr)
 
 
 def test_block_search(spark):
@@ -142,8 +171,8 @@ def test_ranking(spark):
     assert rows(ranking.mmr(pool, "q", "i", "s", "v", 2), "i", "place") == [(1, 1), (3, 2)]
     words = spark.createDataFrame([(list("abcbdab"), list("bdcaba")), ([], list("ab")), (list("ab"), [])], "a array<string>, b array<string>")
     assert [r[0] for r in words.select(ranking.lcs_length(F.col("a"), F.col("b"))).collect()] == [4, 0, 0]
-    z = spark.createDataFrame([(1, 1.0), (1, 2.0), (1, 3.0), (2, 1.0), (2, None)], "g int, x double")
-    assert [round(r[0], 6) for r in z.select("g", "x", ranking.pool_z(F.col("x"), "g").alias("z")).orderBy("g", F.col("x").asc_nulls_last()).select("z").collect()] == [-1.224745, 0.0, 1.224745, 0.0, 0.0]
+    z = spark.createDataFrame([(1, 1.0), (1, 2.0), (1, 3.0), (2, 1.0), (2, None), (None, 4.0)], "g int, x double")
+    assert [None if r[0] is None else round(r[0], 6) for r in ranking.pool_z(z, "g", "x").orderBy("g", F.col("x").asc_nulls_last()).select("z").collect()] == [0.0, -1.224745, 0.0, 1.224745, 0.0, 0.0]
     a = spark.createDataFrame([(1, 0.9), (1, 0.5), (2, 0.7), (2, None)], "g int, p double")
     assert rows(ranking.admitted(a, "g", "p", 0.6, 0.8)) == [(1, 0.9)]
 
@@ -158,8 +187,15 @@ def test_vectors(spark):
     u = one / np.linalg.norm(one, axis=1)[:, None]
     want = (1 - (u @ u.T)[np.triu_indices(20, 1)]).mean()
     assert abs(dict(rows(mean_pair_distance(df, "g", "v")))[0] - want) < 1e-9
-    axes = [s for gg, _, s in sorted(rows(principal_axes(df, "g", "v", 6))) if gg == 0]
-    assert np.allclose(axes, np.linalg.svd(one - one.mean(0))[1][:4])
+    axes = sorted(r for r in rows(principal_axes(df, "g", "v", 6)) if r[0] == 0)
+    _, want, directions = np.linalg.svd(one - one.mean(0))
+    assert np.allclose([r[2] for r in axes], want[:4])
+    assert all(abs(abs(np.dot(r[3], x)) - 1) < 1e-9 and max(r[3], key=abs) > 0 for r, x in zip(axes, directions))
+    mixed = spark.createDataFrame([(None, [1.0, 3.0]), (None, [3.0, 3.0]), (None, [1.0]), (7, [float("nan"), 1.0]), (7, []), (7, [0.0, 0.0])], "g int, v array<float>")
+    assert sorted(((r.g, r.centroid, r.n, r.variance) for r in mean_vectors(mixed, "g", "v").collect()), key=repr) == [(7, [0.0, 0.0], 1, 0.0), (None, [1.0], 1, 0.0), (None, [2.0, 3.0], 2, 1.0)]
+    assert 7 not in {r.g for r in mean_vectors(mixed, "g", "v", unit=True).collect()} and rows(mean_vectors(mixed.limit(0), "g", "v")) == []
+    pairs = bound_pairs(spark.createDataFrame([(1, [1.0, 2.0, 0.5], [0.0, 1.0, 1.0]), (2, [1.0], None), (3, [1.0], [1.0, 2.0]), (4, [], [])], "id long, a array<double>, b array<double>"), "a", "b")
+    assert rows(pairs, "id") == [(1,)]
 
 
 def test_binding():
@@ -180,9 +216,88 @@ def test_sentence_windows(spark):
         assert all(a[0] < b[0] <= a[1] < b[1] for a, b in zip(spans, spans[1:]))
 
 
+def greedy(sizes, budget):
+    page, fill, out = 0, 0, []
+    for size in sizes:
+        size = min(size or 0, budget)
+        if fill > 0 and fill + size > budget:
+            page, fill = page + 1, 0
+        fill += size
+        out.append(page)
+    return out
+
+
 def test_pages(spark):
-    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 6), ("a", 3, 1), ("b", 1, 30), ("b", 2, 1)], "g string, i long, s int")
-    assert rows(first_fitting_pages(df, "g", "i", "s", 10)) == [("a", 1, 0), ("a", 2, 0), ("a", 3, 1), ("b", 1, 0), ("b", 2, 3)]
+    """As a loop over each group gives them, over any number of tasks; no page exceeds the budget but for a lone large item."""
+    g = np.random.default_rng(3)
+    sizes = {"a": [5, 6, 1], "b": [30, 1, 0, 10], "c": [None, 10], "hot": g.integers(0, 9, 3_000).tolist()}
+    df = spark.createDataFrame([(k, i, s) for k, own in sizes.items() for i, s in enumerate(own)], "g string, i long, s int").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = rows(budget_pages(df, "g", "i", "s", 10))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == sorted([(k, i, p) for k, own in sizes.items() for i, p in enumerate(greedy(own, 10))], key=repr)
+    assert rows(budget_pages(df.limit(0), "g", "i", "s", 10)) == []
+
+
+def test_tied_ranks(spark):
+    g = np.random.default_rng(8)
+    values = [None if x < -1.4 else float("nan") if x > 1.9 else float(np.round(x, 1)) for x in g.standard_normal(400)]
+    data = [(i % 3 if i % 50 else None, i, v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(data, "g int, i int, v double")
+    high = lambda v: float("inf") if v != v else v
+    want = [(i, None if v is None else 1 + sum(q == p and w is not None and high(w) > high(v) for q, _, w in data)) for p, i, v in data]
+    assert rows(ranking.tied_rank(df, "g", "v", "r", 2), "i", "r") == sorted(want, key=repr)
+    assert rows(ranking.tied_rank(df.limit(0), "g", "v", "r")) == []
+
+
+def test_transitions(spark):
+    """Chains over the borders of chunks, broken by null nodes and at the ends of groups."""
+    g = np.random.default_rng(1)
+    data = [(int(a), int(t), i, None if g.random() < 0.05 else int(g.integers(0, 5))) for i, (a, t) in enumerate(zip(g.integers(0, 3, 300), g.integers(0, 400, 300)))]
+    want = {}
+    for own in range(3):
+        chain = [n for a, _, _, n in sorted((r for r in data if r[0] == own), key=lambda r: r[1:3])]
+        for x, y in zip(chain, chain[1:]):
+            if x is not None and y is not None:
+                want[x, y] = want.get((x, y), 0) + 1
+    df = spark.createDataFrame(data, "a int, t int, i int, n int")
+    assert rows(graph.transitions(df, F.col("a"), F.floor(F.col("t") / 7), ["t", "i"], "n")) == sorted([(x, y, n) for (x, y), n in want.items()], key=repr)
+    assert rows(graph.transitions(df.limit(0), F.col("a"), F.col("t"), ["i"], "n")) == []
+
+
+def test_contrastive_terms(spark):
+    docs = spark.createDataFrame([(1, "x", "fox fox den of"), (2, "x", "fox tree"), (3, "y", "tree tree"), (4, "y", None), (5, "y", "")], "doc_id long, kind string, text string")
+    found = {(k, t): w for k, t, w, _ in rows(contrastive_terms(docs, "kind"))}
+    assert set(found) == {("x", "fox"), ("x", "den"), ("x", "tree"), ("y", "tree")}
+    assert abs(found["x", "fox"] - 3 / 5 * np.log(1 + 5 / 3)) < 1e-5 and abs(found["y", "tree"] - np.log(1 + 5 / 3)) < 1e-5
+
+
+def test_folder_of_tables_is_cleaned(spark):
+    df = runtime.written(spark.range(3), "some")
+    path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(path) and runtime.clean(spark) >= 1 and not os.path.exists(path)
+
+
+def test_streams_go_on(spark, tmp_path):
+    """A stream that stops after some files goes on from its folder: nothing is lost, counted twice or begun anew."""
+    log, state = str(tmp_path / "log"), str(tmp_path / "state")
+    part = lambda r: spark.createDataFrame(r, "k int, v int, x string").coalesce(1).write.mode("append").parquet(log)
+    fold = lambda: rows(latest_snapshot(read_log(spark, log, 1), ["k"], [F.desc("v"), F.desc("x")], state, folded=3))
+    part([(1, 5, "a"), (2, 1, "b")])
+    part([(1, 4, "late")])
+    assert fold() == [(1, 5, "a"), (2, 1, "b")]
+    bases = lambda: sorted(p.name for p in (tmp_path / "state").glob("base-*"))
+    assert bases() == []
+    for i in range(5):
+        part([(i, 10 + i, "new")])
+    assert fold() == [(i, 10 + i, "new") for i in range(5)] and bases() == ["base-2", "base-5"]
+    assert fold() == [(i, 10 + i, "new") for i in range(5)]
+    out = lambda: rows(drained(read_log(spark, log), folder=str(tmp_path / "copy")))
+    assert len(out()) == 8
+    part([(9, 9, "z")])
+    assert len(out()) == 9 and (9, 9, "z") in out()
 
 
 def test_streams(spark, tmp_path):
