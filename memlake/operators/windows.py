@@ -79,6 +79,59 @@ def budget_pages(rows: DataFrame, group: str, item: str, size: str, budget: int)
     return met.groupBy("g", "part").applyInPandas(number, f"{group} string, {item} long, page long")
 
 
+def leader_runs(rows: DataFrame, group: str, at: str, item: str, width: int) -> DataFrame:
+    """(group, item, run): rows in order of `at` (whole seconds) and item, in runs of at most `width` seconds from a run's first row.
+
+    The group is text, `at` and the item are longs; items should be unique; rows without a time have no run. As in `budget_pages` a group may span any number of tasks: each
+    tells how many runs it opens and how old its last run is for every possible age (width + 1 states, or none) of the run that is open before it.
+    """
+    ordered = rows.select(F.col(group).alias("g"), F.col(at).cast("long").alias("at"), F.col(item).cast("long").alias("i")).where("at is not null")
+    ordered = written(ordered.repartitionByRange("g", "at", "i").sortWithinPartitions("g", "at", "i").withColumn("part", F.spark_partition_id()), "ordered")
+
+    def states(pdf: pd.DataFrame) -> pd.DataFrame:
+        times = np.sort(pdf["at"].to_numpy())
+        opened, age = _ages(times, np.arange(width + 1), width)[:2]
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "part": [pdf["part"].iloc[0]], "first": [times[0]], "last": [times[-1]], "opened": [opened.tolist()], "age": [age.tolist()]})
+
+    stretches = ordered.groupBy("g", "part").applyInPandas(states, "g string, part int, first long, last long, opened array<long>, age array<long>")
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        run, age, last, out = 0, 0, None, []
+        for r in pdf.sort_values("part").itertuples():
+            age = 0 if last is None else age + r.first - last
+            if age > width:
+                run, age = run + 1, 0
+            out.append((r.g, r.part, run, age))
+            run, age, last = run + int(r.opened[age]), int(r.age[age]), r.last
+        return pd.DataFrame(out, columns=["g", "part", "run", "age"])
+
+    begins = stretches.groupBy("g").applyInPandas(chain, "g string, part int, run long, age long")
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["at", "i"])
+        return pd.DataFrame({group: pdf["g"], item: pdf["i"], "run": pdf["run"].iloc[0] + _ages(pdf["at"].to_numpy(), np.array([pdf["age"].iloc[0]]), width)[2]})
+
+    met = ordered.join(begins, ordered["g"].eqNullSafe(begins["g"]) & (ordered["part"] == begins["part"])).select(ordered["g"], ordered["part"], "at", "i", "run", "age")
+    return met.groupBy("g", "part").applyInPandas(number, f"{group} string, {item} long, run long")
+
+
+def _ages(times: np.ndarray, ages: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs opened after the first row and the age of the last one, for each age of the run at the first row, and the run of each row for the first of these."""
+    before, own = np.zeros(len(ages), np.int64), np.arange(len(ages))
+    age, opened, runs = ages.astype(np.int64), np.zeros(len(ages), np.int64), np.zeros(len(times), np.int64)
+    for at, gap in enumerate(np.diff(times).tolist(), 1):
+        age = age + gap
+        over = age > width
+        opened += over
+        age[over] = 0
+        runs[at] = before[0] + opened[own[0]]
+        if len(age) > 1 and at % 16 == 15:
+            before += opened[own]
+            age, same = np.unique(age, return_inverse=True)
+            own, opened = same[own], np.zeros(len(age), np.int64)
+    return before + opened[own], age[own], runs
+
+
 def _run(sizes: np.ndarray, fills: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pages closed and the fill left for each fill to begin with, and the page of each item for the first of these.
 
