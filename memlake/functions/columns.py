@@ -105,3 +105,45 @@ def ladder(seconds: Column, most: int = 40) -> Column:
     for minutes in reversed(BUCKET_MINUTES[:-1]):
         out = F.when(seconds <= minutes * 60 * most, minutes * 60).otherwise(out)
     return out
+
+
+def facets(json: Column) -> Column:
+    """A flat JSON object as a map of strings; null unless it is a valid object of at most 16 KiB."""
+    found = F.try_variant_get(F.try_parse_json(json), "$", "map<string,string>")
+    return F.when(F.octet_length(json) <= 16_384, found)
+
+
+def compatible(a: Column, b: Column) -> Column:
+    """Whether no key that both maps have differs in its value; a null map contradicts nothing."""
+    clash = F.exists(F.map_keys(a), lambda k: F.coalesce(a[k] != b[k], F.lit(False)))
+    return ~F.coalesce(clash, F.lit(False))
+
+
+def meets(required: Column, current: Column) -> Column:
+    """Whether the map `current` has every key of `required` (map of lists) with a value out of its list."""
+    return F.forall(F.map_entries(required), lambda e: F.coalesce(F.array_contains(e["value"], current[e["key"]]), F.lit(False)))
+
+
+def canonical_json(pairs: Column) -> Column:
+    """A map of strings as compact JSON with sorted keys."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(pairs))))
+
+
+def offset_time(text: Column) -> Column:
+    """Epoch seconds of an RFC 3339 time with its offset; null if the offset or the format is missing."""
+    ok = text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$")
+    return F.when(ok, F.unix_seconds(text.try_cast("timestamp")))
+
+
+def elapsed_seconds(text: Column) -> Column:
+    """Seconds of a process' elapsed time, [[dd-]hh:]mm:ss; null for other texts."""
+    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(text, r"^(?:(?:(\d+)-)?(\d+):)?(\d+):(\d+)$", i), F.lit("")).cast("long"), F.lit(0))
+    return F.when(text.rlike(r"^((\d+-)?\d+:)?\d+:\d+$"), ((part(1) * 24 + part(2)) * 60 + part(3)) * 60 + part(4))
+
+
+def identifiers(text: Column) -> Column:
+    """Identifiers of two characters or more in order, each once, case kept: whole ones and the parts of compound ones (snake_case, camelCase)."""
+    whole = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+)"))
+    parts = lambda t: F.split(F.regexp_replace(F.regexp_replace(t, r"([\p{Ll}\p{N}])(\p{Lu})", "$1_$2"), "_+", "_"), "_")
+    every = F.flatten(F.transform(whole, lambda t: F.concat(F.array(t), parts(t))))
+    return F.array_distinct(F.filter(every, lambda t: F.length(t) >= 2))

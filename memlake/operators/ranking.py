@@ -91,6 +91,25 @@ def mmr(df: DataFrame, pool: str, item: str, score: str, vector: str, k: int = 5
     return df.groupBy(pool).applyInPandas(choose, f"{pool} long, {item} long, place int")
 
 
+def apart(df: DataFrame, pool: str, item: str, score: str, vector: str, most: float = 0.92) -> DataFrame:
+    """(pool, item, place): items of each pool, best first, without those as similar as `most` to one that was kept; equal scores go by item.
+
+    Each pool must be a bounded list, as in `mmr`.
+    """
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([score, item], ascending=[False, True], ignore_index=True)
+        m = np.stack(pdf[vector].map(np.asarray)).astype(float)
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        kept: list[int] = []
+        for i in range(len(m)):
+            if not kept or np.round(m[kept] @ m[i], 9).max() < most:
+                kept.append(i)
+        return pd.DataFrame({pool: pdf[pool].iloc[0], item: pdf[item].iloc[kept], "place": range(1, len(kept) + 1)})
+
+    return df.groupBy(pool).applyInPandas(choose, f"{pool} long, {item} long, place int")
+
+
 def _common(x: list, y: list) -> int:
     if x is None or y is None:
         return 0

@@ -42,10 +42,11 @@ def _passes(queries: DataFrame, block: int) -> Iterator[pa.Table]:
         yield queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == p).toArrow()
 
 
-def block_search(rows: DataFrame, queries: DataFrame, k: int, width: int, same: bool = True, block: int = QUERIES) -> DataFrame:
+def block_search(rows: DataFrame, queries: DataFrame, k: int, width: int, same: bool = True, block: int = QUERIES, earlier: bool = False) -> DataFrame:
     """(query_id, id, cosine, rank): the `k` rows most similar to each query, exactly; both are (id long, vec array<float>).
 
-    Vectors of another length than `width`, null or unusable ones don't count; with `same` a row isn't its own result. Cosines
+    Vectors of another length than `width`, null or unusable ones don't count; with `same` a row isn't its own result, with
+    `earlier` only rows of smaller ids are results. Cosines
     are rounded to 6 decimals, equal ones go by id. Each task keeps k rows of each query; those meet by query.
     """
 
@@ -58,6 +59,8 @@ def block_search(rows: DataFrame, queries: DataFrame, k: int, width: int, same:
             for places, own, score in _tiles(batches, ids, q, width):
                 if same:
                     score[ids[places][:, None] == own[None, :]] = -2
+                if earlier:
+                    score[ids[places][:, None] <= own[None, :]] = -2
                 keep = score >= (np.partition(score, len(own) - k, axis=1)[:, len(own) - k, None] if len(own) > k else -1.5)
                 a, b = np.nonzero(keep & (score > -1.5))
                 a, b, s = np.concatenate([best[0], places[a]]), np.concatenate([best[1], own[b]]), np.concatenate([best[2], score[a, b]])
