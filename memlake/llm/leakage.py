@@ -72,6 +72,26 @@ def winnow(grams: np.ndarray, window: int, begins: np.ndarray | None = None) ->
     return np.unique(place if begins is None else place[begins[:n]])
 
 
+def at_ends(kept: np.ndarray, grams: np.ndarray, left: np.ndarray | None = None) -> np.ndarray:
+    """`kept` with the places inside a repetition, successive equal hashes, replaced by the repetition's first and last place.
+
+    So a text of one repeated word keeps two places. Two texts still meet on the diagonal of each run that they share: either a
+    repetition begins or ends within the run, at places that fit, or the run is nothing but one word, and then the first places
+    of both repetitions fit. left: words from each place to the end of its text, where grams are those of several texts.
+    """
+    if not len(kept):
+        return kept
+    joined = np.zeros(len(grams), bool)
+    joined[1:] = grams[1:] == grams[:-1]
+    if left is not None:
+        joined[1:] &= (left[1 : len(grams)] >= GRAM) & (left[: len(grams) - 1] == left[1 : len(grams)] + 1)
+    places = np.arange(len(grams))
+    first = np.maximum.accumulate(np.where(joined, 0, places))
+    ends = ~np.append(joined[1:], False)
+    last = np.minimum.accumulate(np.where(ends, places, len(grams))[::-1])[::-1]
+    return np.unique(np.concatenate([first[kept], last[kept]]))
+
+
 def item_prints(items: DataFrame) -> DataFrame:
     """(id, print, pos, n) of items (id long, text string): kept fingerprints of long items, n = 0; the whole of short ones, n their words."""
 
@@ -82,7 +102,7 @@ def item_prints(items: DataFrame) -> DataFrame:
                 h = np.array([_hashes[w] for w in words_of(text)], np.uint64)
                 if len(h) >= RUN:
                     g = _grams(h, GRAM)
-                    rows += [(i, int(g[p].view(np.int64)), int(p), 0) for p in winnow(g, WINDOW)]
+                    rows += [(i, int(g[p].view(np.int64)), int(p), 0) for p in at_ends(winnow(g, WINDOW), g)]
                 elif len(h):
                     rows.append((i, int(_grams(h, len(h))[0].view(np.int64)), 0, len(h)))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["id", "print", "pos", "n"])
@@ -106,7 +126,7 @@ def text_prints(texts: DataFrame, lengths: list[int], known: np.ndarray | None)
             ids, prints, places, sizes = [], [], [], []
             for n in (0, *lengths):
                 g = _grams(h, n or GRAM)
-                at = np.flatnonzero(left[: len(g)] >= n) if n else winnow(g, WINDOW, left >= RUN)
+                at = np.flatnonzero(left[: len(g)] >= n) if n else at_ends(winnow(g, WINDOW, left >= RUN), g, left)
                 v = g[at].view(np.int64)
                 if known is not None:
                     inside = known[np.minimum(np.searchsorted(known, v), len(known) - 1)] == v if len(known) else np.zeros(len(v), bool)
@@ -122,30 +142,30 @@ def text_prints(texts: DataFrame, lengths: list[int], known: np.ndarray | None)
     return texts.mapInArrow(run, PRINT_SCHEMA)
 
 
-def _longest(item: list[str], words: list[str], hits: list[tuple[int, int]]) -> tuple[int, int, int]:
-    """(length, place in the item, place in the text) of the longest common run through one of the hits."""
+def _longest(item: list[str], words: list[str], diagonals: list[int]) -> tuple[int, int, int]:
+    """(length, place in the item, place in the text) of the longest common run on one of the diagonals (place in the text less that in the item).
+
+    Of equal ones the first in the item, then in the text.
+    """
+    a, b = np.array([_hashes[w] for w in item], np.uint64), np.array([_hashes[w] for w in words], np.uint64)
     best: tuple[int, int, int] = (0, 0, 0)
-    ends: dict[int, int] = {}  # where the last run of each diagonal ends in the item
-    for q, p in sorted(hits):
-        if q < ends.get(p - q, 0):
-            continue
-        a = 0
-        while a < min(p, q) and item[q - a - 1] == words[p - a - 1]:
-            a += 1
-        n, most = 0, min(len(item) - q + a, len(words) - p + a)
-        while n < most and item[q - a + n] == words[p - a + n]:
-            n += 1
-        ends[p - q] = q - a + n
-        best = max(best, (n, -(q - a), -(p - a)))
+    for d in diagonals:
+        q, p = max(0, -d), max(0, d)
+        same = a[q : len(b) - d] == b[p : p + len(a) - q]
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
+        if len(edges):
+            n = edges[1::2] - edges[::2]
+            i = int(n.argmax())
+            best = max(best, (int(n[i]), -(q + int(edges[2 * i])), -(p + int(edges[2 * i]))))
     return best[0], -best[1], -best[2]
 
 
 def leaked_items(texts: DataFrame, items: DataFrame, known: int = KNOWN) -> DataFrame:
     """(item_id, doc_id, n_words, item_start, doc_start): the longest run of words that a text shares with an item.
 
-    texts and items are (id long, text string). A text counts if the run has RUN words or, for a shorter item, is the
+    Where fingerprints meet, the whole diagonal of the two texts is compared. texts and items are (id long, text string). A text counts if the run has RUN words or, for a shorter item, is the
     whole item. Null, empty and wordless texts and items never count; ids should be unique among items. Exact: winnowing
-    misses no such run, and hits are compared word by word.
+    misses no such run (words are compared by 64-bit hashes).
     """
     items = items.where(F.col("id").isNotNull() & F.col("text").isNotNull())
     texts = texts.where(F.col("id").isNotNull() & F.col("text").isNotNull())
@@ -156,8 +176,9 @@ def leaked_items(texts: DataFrame, items: DataFrame, known: int = KNOWN) -> Data
     values = np.unique(prints.select("print").distinct().toArrow().column(0).to_numpy()) if few else None
     found = text_prints(texts, lengths, values)
     own = prints.select("print", "n", F.col("id").alias("item_id"), F.col("pos").alias("q"))
-    hits = found.join(F.broadcast(own) if total <= min(known, BROADCAST_ROWS) else own, ["print", "n"]).select("item_id", F.col("id").alias("doc_id"), "q", F.col("pos").alias("p"))
-    pairs = written(hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("q", "p")).alias("hits")), "hits")
+    hits = found.join(F.broadcast(own) if total <= min(known, BROADCAST_ROWS) else own, ["print", "n"]).select("item_id", F.col("id").alias("doc_id"), (F.col("pos") - F.col("q")).alias("d"))
+    # a diagonal counts once, so that a pair has fewer of them than both have words
+    pairs = written(hits.distinct().groupBy("doc_id", "item_id").agg(F.collect_list("d").alias("diagonals")), "hits")
     both = pairs.join(texts.select(F.col("id").alias("doc_id"), F.col("text").alias("doc_text")), "doc_id").join(
         items.select(F.col("id").alias("item_id"), F.col("text").alias("item_text")), "item_id"
     )
@@ -167,7 +188,7 @@ def leaked_items(texts: DataFrame, items: DataFrame, known: int = KNOWN) -> Data
             rows = []
             for r in batch.to_pylist():
                 item = words_of(r["item_text"])
-                n, q, p = _longest(item, words_of(r["doc_text"]), [(h["q"], h["p"]) for h in r["hits"]])
+                n, q, p = _longest(item, words_of(r["doc_text"]), r["diagonals"])
                 if n >= min(RUN, len(item)):
                     rows.append((r["item_id"], r["doc_id"], n, q, p))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["item_id", "doc_id", "n_words", "item_start", "doc_start"])

@@ -34,6 +34,42 @@ def _tokenizer(path: str):  # noqa: ANN202
     return found
 
 
+@lru_cache(maxsize=4)
+def byte_level(path: str) -> bool:
+    """Whether a file of the tokenizers library is a byte-level BPE that pre-tokenises by PATTERN and changes nothing before."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre = spec.get("pre_tokenizer") or {}
+    return spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+
+
+def _require_byte_level(path: str) -> None:
+    if not path.endswith(".json") or not byte_level(path):
+        raise ValueError(f"{path} is no byte-level BPE with the pre-tokens of this module: its ids have no place in the text's bytes")
+
+
+@lru_cache(maxsize=4)
+def _whole(path: str):  # noqa: ANN202
+    """A function from texts to lists of ids, for files whose texts are encoded as a whole."""
+    if path.endswith(".model"):
+        from sentencepiece import SentencePieceProcessor
+
+        found = SentencePieceProcessor(model_file=path)
+        return lambda texts: found.encode(texts, num_threads=1)
+    if path.endswith(".tiktoken"):
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [own.encode_ordinary(t) for t in texts]
+    return lambda texts: [e.ids for e in _tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+
+
 @lru_cache(maxsize=1)
 def byte_characters() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for.
@@ -81,14 +117,20 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
     """(key, ids) of every row: the ids of the whole text, without special tokens.
 
     A null text and an empty one have no ids, an empty list. Repeated rows are encoded each; other columns don't matter.
-    `tokenizer` is the file of a byte-level BPE that pre-tokenises by PATTERN.
+    `tokenizer` is a file of the tokenizers library (.json), of tiktoken's ranks (.tiktoken) or of sentencepiece (.model). For a byte-level BPE
+    that pre-tokenises by PATTERN each different pre-token is encoded once; all others encode whole texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = tokenizer.endswith(".json") and byte_level(tokenizer)
         for batch in small(batches):
-            pieces = _split([t or "" for t in batch.column("text").to_pylist()])
-            met = _pieces(tokenizer, pieces)
-            ids = [list(chain.from_iterable(map(met.__getitem__, p))) for p in pieces]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            if once:
+                pieces = _split(texts)
+                met = _pieces(tokenizer, pieces)
+                ids = [list(chain.from_iterable(map(met.__getitem__, p))) for p in pieces]
+            else:
+                ids = [x if t else [] for t, x in zip(texts, _whole(tokenizer)(texts))]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, pa.list_(pa.int32()))], names=["key", "ids"])
 
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -105,6 +147,7 @@ def encode_offsets(df: DataFrame, key: str = "doc_id", text: str = "text", token
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        _require_byte_level(tokenizer)
         size = [len(b) for b in _token_bytes(tokenizer)]
         for batch in small(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -133,6 +176,7 @@ def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", tokenizer: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _require_byte_level(tokenizer)
         table = _token_bytes(tokenizer)
         for batch in small(batches):
             texts = [None if x is None else b"".join([table[i] for i in x]).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]

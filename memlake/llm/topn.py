@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.plans.runtime import broadcast_if_small, written
+from memlake.plans.runtime import BROADCAST_ROWS, written
 
 #: Buckets for each doubling of the score.
 FINE = 32
+#: Rows of the table that gives groups without a threshold of their own a common one.
+SHARED = 1 << 16
 
 
 def score_bucket(score: Column) -> Column:
@@ -23,6 +25,35 @@ def latest_rows(df: DataFrame, keys: list[str], version: str, keep: list[str]) -
     return df.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"newest.{c}").alias(c) for c in keep])
 
 
+def group_floors(rows: DataFrame, group: str, n: int) -> DataFrame:
+    """(_group, _floor, _all): the lowest bucket that leaves `n` of a group's rows at or above it, null for groups of fewer, and the group's rows."""
+    histogram = rows.groupBy(F.col(group).alias("_group"), "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    above = Window.partitionBy("_group").orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = histogram.withColumn("_above", F.sum("_n").over(above))
+    return reached.groupBy("_group").agg(F.max(F.when(F.col("_above") >= n, F.col("_bucket"))).alias("_floor"), F.sum("_n").alias("_all"))
+
+
+def above_floors(rows: DataFrame, group: str, n: int, broadcast: int = BROADCAST_ROWS) -> DataFrame:
+    """`rows` (with `_bucket`) without those below a bound that leaves each group its `n` best; the bounds meet the rows by broadcasts of bounded size.
+
+    A group of more rows than the whole count divided by `broadcast` has its own floor: there are fewer than `broadcast` such groups,
+    whatever the input. All other groups share the lowest floor of those with the same hash (none if one of them has fewer than `n` rows).
+    """
+    floors = written(group_floors(rows, group, n), "floors")
+    total = floors.agg(F.sum("_all")).first()[0] or 0
+    large = F.col("_all") > total // broadcast
+    none = F.lit(-(1 << 31))
+    own = floors.where(large).select("_group", F.coalesce("_floor", none).alias("_own"))
+    met = rows.join(F.broadcast(own), F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
+    least = F.col("_own")
+    if floors.where(~large).limit(1).count():
+        slot = lambda c: F.pmod(F.xxhash64(c), F.lit(min(SHARED, broadcast)))
+        shared = floors.where(~large).groupBy(slot("_group").alias("_slot")).agg(F.min(F.coalesce("_floor", none)).alias("_shared"))
+        met = met.withColumn("_slot", slot(group)).join(F.broadcast(shared), "_slot", "left").drop("_slot")  # at most SHARED rows
+        least = F.coalesce(least, F.col("_shared"))
+    return met.where(least.isNull() | (F.col("_bucket") >= least)).select(rows.columns)
+
+
 def top_n(items: DataFrame, group: str, score: str, ties: list[Column], n: int = 5) -> DataFrame:
     """The `n` rows of `items` with the highest `score` in each `group`, with their `rank`; equal scores go by `ties`.
 
@@ -33,18 +64,9 @@ def top_n(items: DataFrame, group: str, score: str, ties: list[Column], n: int =
     Rows below are dropped before the shuffle that ranks; a bucket that holds the n-th row is kept whole, so the result is exact.
     """
     rows = items.where(F.col(score).isNotNull() & ~F.isnan(score)).withColumn("_bucket", score_bucket(F.col(score)))
-    histogram = rows.groupBy(F.col(group).alias("_group"), "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    above = Window.partitionBy("_group").orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = Window.partitionBy("_group")
-    reached = histogram.withColumn("_above", F.sum("_n").over(above)).withColumn("_all", F.sum("_n").over(total))
-    # groups of at most n rows need no threshold
-    floors = reached.where((F.col("_all") > n) & (F.col("_above") >= n)).groupBy("_group").agg(F.max("_bucket").alias("_floor"))
-    # a row for each group: broadcast while they are few, else met by a shuffle that the ranking reuses
-    floors = broadcast_if_small(written(floors, "floors"))
-    kept = rows.join(floors, F.col(group).eqNullSafe(F.col("_group")), "left").where(F.col("_floor").isNull() | (F.col("_bucket") >= F.col("_floor")))
     order = Window.partitionBy(group).orderBy(F.col(score).desc(), *ties)
     # a rank below a constant is limited within each map task first, so a bucket of many equal scores doesn't meet in one task whole
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("_bucket", "_group", "_floor")
+    return above_floors(rows, group, n).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("_bucket")
 
 
 def latest_candidates(candidates: DataFrame) -> DataFrame:

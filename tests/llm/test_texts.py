@@ -8,11 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from memlake.llm.leakage import RUN, leaked_items, winnow, words_of
+from memlake.llm.leakage import RUN, at_ends, leaked_items, winnow, words_of
 from memlake.llm.neardup import expand_pairs, similar_texts
 from memlake.llm.spans import CUT, LENGTH, cuts, merged_spans, shared_spans
-from memlake.llm.tokens import FOLDER, byte_characters, decode, encode, encode_offsets
-from memlake.llm.topn import latest_candidates, score_bucket, top_n
+from memlake.llm.tokens import FOLDER, PATTERN, byte_characters, byte_level, decode, encode, encode_offsets
+from memlake.llm.topn import above_floors, latest_candidates, score_bucket, top_n
 
 TOKENIZER = f"{FOLDER}/byte_bpe_50k.json"
 needs_tokenizer = pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer file")
@@ -58,6 +58,25 @@ def test_similar_texts_of_nothing(spark):
 # ---- top n
 
 
+@pytest.mark.parametrize("broadcast", [1, 7, 200_000])
+def test_top_n_of_more_groups_than_are_broadcast(spark, broadcast):
+    """Whatever the bound on what is broadcast: the threshold comes before any shuffle of the rows, and the result is the same."""
+    g = np.random.default_rng(5)
+    data = [(int(k), i, float(s)) for i, (k, s) in enumerate(zip(np.minimum(g.zipf(1.6, 4_000), 300), g.gamma(2, size=4_000)))] + [(None, 9_000 + i, float(i)) for i in range(20)] + [(900 + i, 9_100 + i, 1e-9) for i in range(5)]
+    df = spark.createDataFrame(data, "g long, i long, s double").withColumn("_bucket", score_bucket(F.col("s")))
+    kept = above_floors(df, "g", 3, broadcast)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    left, want = defaultdict(list), defaultdict(list)
+    for k, i, s in rows(kept, "g", "i", "s"):
+        left[k].append((-s, i))
+    for k, i, s in data:
+        want[k].append((-s, i))
+    assert all(sorted(left[k])[:3] == sorted(want[k])[:3] for k in want)
+    if broadcast >= 7:
+        assert sum(map(len, left.values())) < 0.6 * len(data)
+
+
 def test_top_n(spark):
     r = random.Random(5)
     data = [(f"g{i % 7}" if i % 13 else None, f"i{i}", r.choice([0.0, 0.5, 0.25, r.random(), -r.random(), float("inf")]), r.choice([None, 1, 2])) for i in range(900)]
@@ -95,6 +114,30 @@ def test_latest_candidates(spark):
 TEXTS = ["", None, "Hello world", "  spaces \t\n\n tabs  ", "naïve 漢字 🙂🙂‍🙂 é", "<|endoftext|> <|startoftext|>", "a" * 5_000, "1" * 3_000, "\x00\x07﻿​", "don't we'll I'VE", "x \n", " "]
 
 
+@needs_tokenizer
+def test_tokens_of_other_files(spark):
+    """Each kind of public file gives its library's ids; files without a place in the bytes can't be decoded here."""
+    import base64
+
+    import sentencepiece
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    texts = ["Hello, the World's 12 Größen!", "", None, "  a\tb\n", "日本語 text", "word" * 50, "<|endoftext|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(f"{FOLDER}/byte_bpe_multi_50k.tiktoken", "rb"))}
+    ordinary = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    words = Tokenizer.from_file(f"{FOLDER}/word_bpe_49k.json")
+    words.encode_special_tokens = True
+    pieces = sentencepiece.SentencePieceProcessor(model_file=f"{FOLDER}/piece_bpe_32k.model")
+    for name, ids in (("byte_bpe_multi_50k.tiktoken", ordinary), ("word_bpe_49k.json", lambda t: words.encode(t, add_special_tokens=False).ids), ("piece_bpe_32k.model", pieces.encode)):
+        found = dict(rows(encode(df, tokenizer=f"{FOLDER}/{name}")))
+        assert all(found[i] == (ids(t) if t else []) for i, t in enumerate(texts)), name
+    assert byte_level(TOKENIZER) and not byte_level(f"{FOLDER}/word_bpe_49k.json")
+    with pytest.raises(Exception, match="no byte-level BPE"):
+        rows(decode(spark.createDataFrame([(1, [5])], "doc_id long, ids array<int>"), tokenizer=f"{FOLDER}/word_bpe_49k.json"))
+
+
 @needs_tokenizer
 def test_tokens(spark):
     from tokenizers import Tokenizer
@@ -168,6 +211,28 @@ def test_leaks_of_nothing(spark):
     assert rows(leaked_items(none, one)) == rows(leaked_items(one, none)) == rows(leaked_items(none, none)) == []
 
 
+def test_repetitions_keep_two_places(spark):
+    """Texts of one repeated word, alone, before, after or between others: few places are kept, no shared run is lost."""
+    g = random.Random(4)
+    words = ["la"] * 6 + ["x", "y", "z"]
+    items = [" ".join(g.choice(words[-3:]) for _ in range(g.randrange(0, 9))) + " la" * g.randrange(0, 25) + " " + " ".join(g.choice(words) for _ in range(g.randrange(0, 12))) for _ in range(40)]
+    texts = [" ".join(g.choice(words) for _ in range(g.randrange(0, 14))) + " la" * g.randrange(0, 30) + " " + " ".join(g.choice(words[-3:]) for _ in range(g.randrange(0, 9))) for _ in range(60)]
+    texts += ["la " * 2_000, items[3] + " end " + items[5]]
+    frame = lambda x: spark.createDataFrame(list(enumerate(x)), "id long, text string")
+    want = set()
+    for i, item in enumerate(items):
+        w = words_of(item)
+        n = min(RUN, len(w))
+        for t, text in enumerate(texts):
+            v = words_of(text)
+            grams = {tuple(v[k : k + n]) for k in range(len(v) - n + 1)}
+            if n and any(tuple(w[k : k + n]) in grams for k in range(len(w) - n + 1)):
+                want.add((i, t))
+    assert set(rows(leaked_items(frame(texts), frame(items)), "item_id", "doc_id")) == want and len(want) > 200
+    one = np.full(2_000, 7, np.uint64)
+    assert at_ends(winnow(one, 9), one).tolist() == [0, 1_999]
+
+
 def test_winnow_meets_every_window():
     g = np.random.default_rng(1).integers(0, 5, 200).astype(np.uint64)
     kept = set(winnow(g, 9).tolist())
