@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm.clusters import linked_clusters, typical_members
 from memlake.llm.leakage import leaked_items
-from memlake.llm.neardup import expand_pairs, expand_vectors, similar_texts, similar_vectors
+from memlake.llm.neardup import expand_pairs, expand_vectors, similar_texts, similar_vectors, vector_classes
 from memlake.llm.nearest import nearest_vectors, neighbour_pairs, vectors_of
 from memlake.llm.spans import shared_spans
 from memlake.llm.tokens import decode, encode, encode_offsets
@@ -45,6 +45,13 @@ def p3_preview_classes(spark: SparkSession, d: str) -> DataFrame:
     return classes.join(links, "head", "left").select(F.col("id").alias("memory_id"), F.col("head").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
+def p3_embedding_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each episode with a usable vector, its class of equal vectors, and the number of other classes that are nearly the same."""
+    vectors = vector_set(spark, d, "episode")
+    rows = vector_classes(*similar_vectors(vectors, 0.97), vectors)
+    return rows.select(F.col("id").alias("episode_id"), F.col("head").alias("class_id"), "links")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return linked_clusters(vector_set(spark, d, "episode")).select("cluster_key", F.col("id").alias("episode_id"))
 
@@ -132,7 +139,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p3_found, p3_preview_classes, p4_found, p4_clusters, p5_found, p5_ranked, p6_ids, p6_offsets, p6_decoded, p7_found, p7_spans, p8_found, p8_shares)
+    for f in (p1_found, p3_found, p3_preview_classes, p3_embedding_classes, p4_found, p4_clusters, p5_found, p5_ranked, p6_ids, p6_offsets, p6_decoded, p7_found, p7_spans, p8_found, p8_shares)
 }
 
 # usable vectors, one of each id, in double precision
@@ -158,6 +165,10 @@ SQL = {
     "p1_found": " UNION ALL ".join(_NEAREST.format(s=k, x=_cosines(t, c, 0.7)) for k, (t, c) in VECTOR_SETS.items()),
     "p3_found": f"""SELECT 'preview' AS dup_field, a.id AS id_1, b.id AS id_2 FROM {_PREVIEWS} a JOIN {_PREVIEWS} b ON a.id < b.id WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.7
 UNION ALL SELECT 'embedding', a, b FROM {_cosines("episodic_memories", "embedding", 0.97)} WHERE a < b""",
+    "p3_preview_classes": f"""WITH w AS {_PREVIEWS}, k AS (SELECT id, list_sort(w) AS w FROM w), h AS (SELECT w, min(id) AS head FROM k GROUP BY 1), l AS (SELECT a.head, count(*) AS links FROM h a JOIN h b ON a.head <> b.head AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.7 GROUP BY 1)
+SELECT k.id AS memory_id, h.head AS class_id, coalesce(l.links, 0) AS links FROM k JOIN h ON h.w = k.w LEFT JOIN l ON l.head = h.head""",
+    "p3_embedding_classes": f"""WITH v AS {_VECTORS.format(t="episodic_memories", c="embedding")}, h AS (SELECT v, min(id) AS head FROM v GROUP BY 1), l AS (SELECT a.head, count(*) AS links FROM h a JOIN h b ON a.head <> b.head AND len(a.v) = len(b.v) AND round(list_cosine_similarity(a.v, b.v), 9) >= 0.97 GROUP BY 1)
+SELECT v.id AS episode_id, h.head AS class_id, coalesce(l.links, 0) AS links FROM v JOIN h ON h.v = v.v LEFT JOIN l ON l.head = h.head""",
     "p4_found": f"""WITH RECURSIVE e AS MATERIALIZED {_cosines("episodic_memories", "embedding", 0.7)}, r(node, label) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.label FROM r JOIN e ON r.node = e.a WHERE r.label < e.b), m AS (SELECT node, min(label) AS label FROM r GROUP BY 1)
 SELECT label AS cluster_key, node AS episode_id FROM m WHERE label IN (SELECT label FROM m GROUP BY 1 HAVING count(*) >= 5)""",
     "p7_found": _GRAMS + " SELECT DISTINCT item_id, doc_id FROM x JOIN y USING (g)",

@@ -2,13 +2,15 @@
 
 A gear hash rolls over the last GEAR characters of every place. A place is a cut if its hash is the least of some CUT successive
 ones. Unlike a cut at hashes below a mask, this bounds the chunks' length: every window of LENGTH characters has a cut among its first CUT places, and
-which one depends on the window's own characters alone, so that insertions elsewhere shift nothing. Two equal windows
-therefore have the same first cut, at the same distance from their start, and behind it the same CORE = LENGTH - CUT + 1 characters.
-
-The digest of these CORE characters deduplicates the cuts: a digest that one record alone holds can be forgotten. A cut whose
-surroundings, CUT - 1 characters on both sides of the core, are those of another record's cut shares all its windows. Only cuts that share
-the core but not the surroundings are compared window by window, each different surrounding once, by digests of the
-windows: no pairs of records are made, however many share a core.
+which one depends on the window's own characters alone, so that insertions elsewhere shift nothing. From each cut a chunk of
+variable length reaches to the place of the least hash of the CUT ones after it, which is a cut, too. Two equal windows
+therefore have the same first cut, at the same distance from their start, and behind it the same chunk.
+
+Chunks are deduplicated by their digests: one that a single record holds can be forgotten. Shared chunks are then extended at their borders. A
+chunk whose surroundings, the CUT - 1 characters before it and the LENGTH ones from its start on, are those of another record's
+chunk shares all its windows. Only chunks that agree in the CORE = LENGTH - CUT + 1 characters that every window has behind its first cut, but
+not in all that surrounds them, are compared window by window, each different surrounding once, by digests of the
+windows: no pairs of records are made, however many share a chunk.
 """
 
 from __future__ import annotations
@@ -39,10 +41,10 @@ def _gear(codes: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Places of `codes` that are the cut of some window of CUT places beginning at one of `starts` (a mask over places).
+def cuts(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of `codes` that are the cut of some window of CUT places beginning at one of `starts` (a mask over places), and where their chunks end.
 
-    The least hash counts, the last one of equal ones.
+    The least hash counts, the last one of equal ones. A chunk ends at the cut of the window that begins right behind its start.
     """
     h = _gear(codes)
     places = np.arange(len(h), dtype=np.uint64)
@@ -54,13 +56,13 @@ def cuts(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     rest = CUT - size
     if rest:
         least = np.minimum(least[: len(least) - rest], least[rest:])
-    at = np.flatnonzero(starts[: len(least)])
-    found = least[at]
+    place = lambda x: (np.uint64(0xFFFFFFFF) - (x & np.uint64(0xFFFFFFFF))).astype(np.int64)
     # the same cut serves successive windows
-    return np.unique((np.uint64(0xFFFFFFFF) - (found & np.uint64(0xFFFFFFFF))).astype(np.int64))
+    found = np.unique(place(least[np.flatnonzero(starts[: len(least)])]))
+    return found, place(least[np.minimum(found + 1, len(least) - 1)])
 
 
-CUT_SCHEMA = "doc_id long, pos int, core long, around long"
+CUT_SCHEMA = "doc_id long, pos int, chunk long, core long, around long"
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, bytes, np.ndarray]:
@@ -75,7 +77,7 @@ def _place(pos: int, begin: int, end: int, length: int, cut: int) -> tuple[int,
 
 
 def record_cuts(texts: DataFrame) -> DataFrame:
-    """(doc_id, pos, core, around): cuts of texts (doc_id long, text string), digests of what follows and of what surrounds them."""
+    """(doc_id, pos, chunk, core, around): cuts of texts (doc_id long, text string), digests of the chunk, of what follows and of what surrounds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest as digest
@@ -95,17 +97,18 @@ def record_cuts(texts: DataFrame) -> DataFrame:
                 starts = np.zeros(len(codes) + 1, np.int8)
                 for b, e in zip(bounds[:-1], bounds[1:]):
                     starts[b : max(b, e - LENGTH + 1)] = 1
-                found = cuts(codes, starts[:-1].view(bool))
+                found, ends = cuts(codes, starts[:-1].view(bool))
                 text = np.searchsorted(bounds, found, "right") - 1
-                cores, arounds = np.empty(len(found), np.uint64), np.empty(len(found), np.uint64)
+                chunks, cores, arounds = (np.empty(len(found), np.uint64) for _ in range(3))
                 low, high = bounds[text], bounds[text + 1]
                 left, right = np.maximum(low, found - CUT + 1), np.minimum(high, found + LENGTH)
-                for i, (p, a, b) in enumerate(zip(found.tolist(), left.tolist(), right.tolist())):
+                for i, (p, e, a, b) in enumerate(zip(found.tolist(), ends.tolist(), left.tolist(), right.tolist())):
+                    chunks[i] = digest(raw[4 * p : 4 * e])
                     cores[i] = digest(raw[4 * p : 4 * (p + core)])
                     arounds[i] = digest(raw[4 * a : 4 * b], p - a)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(part_ids, np.int64)[text]), pa.array((found - low).astype(np.int32)), pa.array(cores.view(np.int64)), pa.array(arounds.view(np.int64))],
-                    names=["doc_id", "pos", "core", "around"],
+                    [pa.array(np.array(part_ids, np.int64)[text]), pa.array((found - low).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (chunks, cores, arounds))],
+                    names=["doc_id", "pos", "chunk", "core", "around"],
                 )
 
     return texts.where(F.length("text") >= LENGTH).mapInArrow(run, CUT_SCHEMA)
@@ -148,8 +151,8 @@ def shared_spans(texts: DataFrame) -> DataFrame:
     """
     texts = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     found = written(record_cuts(texts), "cuts")
-    cores = found.groupBy("core").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") != F.col("last")).select("core")
-    shared = written(found.join(cores, "core", "left_semi"), "shared")
+    chunks = found.groupBy("chunk").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") != F.col("last")).select("chunk")
+    shared = written(found.join(chunks, "chunk", "left_semi").drop("chunk"), "shared")
     # one row for each different surrounding, whatever the number of records that have it
     kinds = shared.groupBy("core", "around").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min(F.struct("doc_id", "pos")).alias("one"))
     kinds = written(kinds, "kinds")

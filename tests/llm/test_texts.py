@@ -283,20 +283,25 @@ def test_shared_spans(spark):
 
 
 def test_shared_spans_of_one_record(spark):
-    t = "".join(random.Random(4).choice("abc ") for _ in range(400))
+    g = random.Random(4)
+    t = "".join(g.choice("abc ") for _ in range(400))
     df = spark.createDataFrame([(1, t * 3), (1, t * 3), (2, None)], "doc_id long, text string")
     assert rows(shared_spans(df)) == []
     assert rows(shared_spans(df.limit(0))) == []
 
 
 def test_cuts_depend_on_the_window_alone():
-    text = "".join(random.Random(6).choice("abcdefgh \n") for _ in range(3_000))
+    g = random.Random(6)
+    text = "".join(g.choice("abcdefgh \n") for _ in range(3_000))
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    every = lambda c: cuts(c, np.ones(len(c), bool))
+    every = lambda c: list(zip(*(x.tolist() for x in cuts(c, np.ones(len(c), bool)))))
     whole, part = every(codes), every(codes[500:1_500])
-    inside = [int(p) for p in whole if 500 + CUT <= p < 1_500 - LENGTH]
-    assert [int(p) + 500 for p in part if CUT <= p < 1_000 - LENGTH] == inside
-    assert np.diff(whole).max() <= CUT
+    inside = [(p, e) for p, e in whole if 500 + CUT <= p < 1_500 - LENGTH]
+    assert [(p + 500, e + 500) for p, e in part if CUT <= p < 1_000 - LENGTH] == inside
+    assert np.diff([p for p, _ in whole]).max() <= CUT
+    # chunks differ in length, are no longer than CUT, and end at cuts
+    lengths = {e - p for p, e in inside}
+    assert len(lengths) > 5 and min(lengths) >= 1 and max(lengths) <= CUT and {e for _, e in inside} <= {p for p, _ in whole}
 
 
 def test_merged_spans(spark):
