@@ -1,11 +1,20 @@
-"""Column expressions; all stay in the JVM."""
+"""Column expressions; all but `folded_tokens` stay in the JVM."""
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from math import pi
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+#: Words, and their stretches of Chinese and Japanese characters or of others.
+WORD = re.compile(r"[^\W_]+")
+CJK = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
+RUN = re.compile("[\u3040-\u30ff\u3400-\u9fff]+|[^\u3040-\u30ff\u3400-\u9fff]+")
 
 #: Seconds of a day and of a week.
 DAY, WEEK = 86_400, 604_800
@@ -147,3 +156,23 @@ def identifiers(text: Column) -> Column:
     parts = lambda t: F.split(F.regexp_replace(F.regexp_replace(t, r"([\p{Ll}\p{N}])(\p{Lu})", "$1_$2"), "_+", "_"), "_")
     every = F.flatten(F.transform(whole, lambda t: F.concat(F.array(t), parts(t))))
     return F.array_distinct(F.filter(every, lambda t: F.length(t) >= 2))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _folded(texts: pd.Series) -> pd.Series:
+    def one(text: str | None) -> list[str] | None:
+        if text is None:
+            return None
+        plain = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+        found: set[str] = set()
+        for word in WORD.findall(plain):
+            for run in RUN.findall(word):
+                found.update(run[i : i + 2] for i in range(len(run) - 1)) if CJK.match(run) and len(run) > 1 else found.add(run[:6])
+        return sorted(found)
+
+    return texts.map(one)
+
+
+def folded_tokens(text: Column) -> Column:
+    """Sorted distinct tokens that spellings of a word share: lower case, accents gone, the first six letters; pairs of characters of Chinese and Japanese."""
+    return _folded(text)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memlake.functions.columns import canonical_json, compatible, cosine, elapsed_seconds, facets, identifiers, meets, offset_time, tokens
+from memlake.functions.columns import canonical_json, compatible, cosine, elapsed_seconds, facets, folded_tokens, identifiers, meets, offset_time, tokens
 from memlake.operators import graph, ranking
 from memlake.operators.lexical import bm25
-from memlake.operators.search import block_search
+from memlake.operators.search import block_search, cosine_histogram
 from memlake.operators.vectors import mean_pair_distance, mean_vectors
 from memlake.operators.windows import sentence_windows
 from memlake.plans.log_queries import LAST_CALLS, LAST_CANDS, LAST_EPISODES, LAST_RUNS, LAST_SCHEMAS, NOW, calls, candidates, episodes, runs, schemas
@@ -380,3 +380,72 @@ def q176_spread_projection(s, d):
     parts = reach.join(centres, "node").select("a", length.alias("l"), F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.sum(F.col("a") * F.col("x").cast("double") / F.col("l")).alias("y"))
     whole = parts.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))  # one row
     return parts.crossJoin(F.broadcast(whole)).select(F.col("pos").cast("long").alias("pos"), F.round(F.col("y") / F.col("norm"), 6).alias("v"))
+
+
+@query(f"""WITH e AS {_PROB} SELECT e.dst AS node, round(sum(e.weight * greatest(0, list_cosine_similarity(a.v, b.v))), 6) AS relevance, count(*) AS paths FROM e JOIN {_P} a ON a.id = e.src JOIN {_P} b ON b.id = e.dst WHERE e.src % 100 = 0 AND e.src <> e.dst AND len(a.v) = len(b.v) GROUP BY 1""")
+def q177_relevant_expansion(s, d):
+    """Neighbours of the seeds, each link weighted by how near the two prototypes are."""
+    centres = usable(s, d, "semantic_prototypes", "centroid")
+    edges = _edges(s, d).where("src % 100 = 0 and src <> dst")
+    met = edges.join(centres.select(F.col("id").alias("src"), F.col("v").alias("a")), "src").join(centres.select(F.col("id").alias("dst"), F.col("v").alias("b")), "dst").where(F.size("a") == F.size("b"))
+    near = F.greatest(F.lit(0.0), cosine(F.col("a"), F.col("b")))
+    return met.groupBy(F.col("dst").alias("node")).agg(F.round(F.sum(F.col("weight") * near), 6).alias("relevance"), F.count(F.lit(1)).alias("paths"))
+
+
+_PAIRED = "(SELECT DISTINCT prototype_id AS p, episode_id AS e FROM episode_prototype_map WHERE prototype_id IS NOT NULL AND episode_id IS NOT NULL)"
+
+
+@query(f"""SELECT a.p AS id_1, b.p AS id_2, count(*) AS shared FROM {_PAIRED} a JOIN {_PAIRED} b ON a.e = b.e AND a.p < b.p GROUP BY 1, 2""")
+def q178_competing_prototypes(s, d):
+    """Prototypes that claim the same episodes; an episode's prototypes are few, so its pairs are made within one row."""
+    own = table(s, d, "episode_prototype_map").select("prototype_id", "episode_id").dropna().groupBy("episode_id").agg(F.array_sort(F.collect_set("prototype_id")).alias("p")).where(F.size("p") > 1)
+    pairs = own.select(F.posexplode("p").alias("i", "id_1"), "p").select("id_1", F.explode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("id_2"))
+    return pairs.groupBy("id_1", "id_2").agg(F.count(F.lit(1)).alias("shared"))
+
+
+@query(f"""WITH x AS (SELECT v.id, c.label, round(list_cosine_similarity(v.v, c.c), 6) AS cosine FROM {_V} v, {_CENTRES} c WHERE v.id % 100 = 0) SELECT id, label, cosine, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, label) AS k FROM x WHERE cosine >= 0.1) WHERE k <= 3""")
+def q179_situations(s, d):
+    """The three situations (the labels' means) nearest to each query vector, if near enough."""
+    rows = _vectors(s, d)
+    centres = mean_vectors(rows, "label", "vec").select(F.col("label").cast("long").alias("id"), F.col("centroid").cast("array<float>").alias("vec"))
+    near = block_search(centres, rows.where("id % 100 = 0").select("id", "vec"), 3, WIDTH, same=False).where("cosine >= 0.1")
+    return near.select(F.col("query_id").alias("id"), F.col("id").cast("int").alias("label"), "cosine", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH c AS (SELECT CAST(floor(round(list_cosine_similarity(q.v, r.v), 6) * 1000) AS BIGINT) AS bin, count(*) AS n FROM {_V} q JOIN {_V} r ON q.id <> r.id WHERE q.id % 100 = 0 GROUP BY 1), u AS (SELECT *, sum(n) OVER (ORDER BY bin) AS upto, sum(n) OVER () AS every FROM c)
+SELECT p, min(bin) / 1000.0 AS cosine FROM u, (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS p) WHERE upto >= p * every GROUP BY 1""")
+def q180_cosine_percentiles(s, d):
+    """Percentiles of the cosines between the query set and all rows, from counts of bins of 0.001."""
+    rows = _vectors(s, d).select("id", "vec")
+    counts = cosine_histogram(rows, rows.where("id % 100 = 0"), WIDTH, step=0.001)
+    # at most two thousand bins
+    placed = counts.withColumns({"upto": F.sum("pairs").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "every": F.sum("pairs").over(Window.partitionBy())})
+    met = placed.select("bin", "upto", "every", F.explode(F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)])).alias("p")).where(F.col("upto") >= F.col("p") * F.col("every"))
+    return met.groupBy("p").agg((F.min("bin") / 1000.0).alias("cosine"))
+
+
+@query()
+def q181_folded_tokens(s, d):
+    """How many folded tokens each document has, and a digest of them."""
+    rows = table(s, d, "documents").where("text is not null").select("doc_id", folded_tokens(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
+
+
+@query(f"""WITH g AS (SELECT id, greatest(0.5, coalesce(confidence, 0.5)) AS confidence, count(DISTINCT scope_id) AS scopes, avg(applicability) AS fit FROM (SELECT m.id, m.confidence, e.scope_id, c.applicability FROM {LAST_SCHEMAS} m JOIN {LAST_CANDS} c ON c.candidate_id = 'sch_' || m.id AND c.candidate_kind = 'memory' JOIN {LAST_CALLS} e ON e.context_id = c.retrieval_id WHERE e.scope_id IS DISTINCT FROM m.scope_id) GROUP BY 1, 2)
+SELECT id, scopes, round(least(1.0, confidence + 0.05), 6) AS confidence FROM g WHERE scopes >= 2 AND fit >= 0.4""")
+def q182_cross_scope_completion(s, d):
+    """Claims that fit calls of two other scopes or more gain in confidence."""
+    asked = calls(s, d).select(F.col("context_id").alias("retrieval_id"), F.col("scope_id").alias("asked"))
+    shown = candidates(s, d).where("candidate_kind = 'memory'").select(F.regexp_extract("candidate_id", r"^sch_(\d+)$", 1).try_cast("long").alias("id"), "retrieval_id", "applicability").where("id is not null")
+    own = schemas(s, d).select("id", "scope_id", F.greatest(F.lit(0.5), F.coalesce("confidence", F.lit(0.5))).alias("confidence"))
+    met = shown.join(asked, "retrieval_id").join(own, "id").where(~F.col("asked").eqNullSafe(F.col("scope_id")))
+    per = met.groupBy("id", "confidence").agg(F.count_distinct("asked").alias("scopes"), F.avg("applicability").alias("fit")).where("scopes >= 2 and fit >= 0.4")
+    return per.select("id", "scopes", F.round(F.least(F.lit(1.0), F.col("confidence") + 0.05), 6).alias("confidence"))
+
+
+@query(f"""SELECT coalesce(scope_id, 'none') AS scope, count(*) AS n, CAST(sum(length(content_text)) AS BIGINT) AS chars, count(*) FILTER (confidence >= 0.5) AS confident FROM {LAST_SCHEMAS} WHERE lower(trim(status)) = 'active' AND 'sch_' || id NOT IN (SELECT candidate_id FROM {LAST_CANDS} WHERE decision = 'suppressed') GROUP BY 1""")
+def q183_passage_index(s, d):
+    """What a scope's index of passages holds: active claims that no retrieval suppressed."""
+    out = candidates(s, d).where("decision = 'suppressed'").select(F.regexp_extract("candidate_id", r"^sch_(\d+)$", 1).try_cast("long").alias("id")).where("id is not null")
+    rows = schemas(s, d).where(F.lower(F.trim("status")) == "active").join(out, "id", "left_anti")
+    return rows.groupBy(F.coalesce("scope_id", F.lit("none")).alias("scope")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content_text").cast("long")).alias("chars"), F.count_if(F.col("confidence") >= 0.5).alias("confident"))

@@ -8,6 +8,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from memlake.functions import columns
 from memlake.functions.columns import cosine, ladder, stem, time_code
 from memlake.operators import graph, orphans, ranking
 from memlake.operators.buckets import bucketed
@@ -16,7 +17,7 @@ from memlake.operators.lexical import bm25, contrastive_terms
 from memlake.operators.orphans import Reference, bloom_filter, find_orphans, orphan_report, text_key
 from memlake.operators.search import block_search, cosine_histogram
 from memlake.operators.vectors import bind, bound_pairs, mean_pair_distance, mean_vectors, principal_axes, role_vector, unbind
-from memlake.operators.windows import budget_pages, sentence_windows
+from memlake.operators.windows import budget_pages, leader_runs, sentence_windows
 from memlake.plans import runtime
 from memlake.streaming.event_log import closed_sessions, drained, latest_snapshot, read_log, windowed
 
@@ -241,6 +242,54 @@ def test_pages(spark):
     assert rows(budget_pages(df.limit(0), "g", "i", "s", 10)) == []
 
 
+def test_leader_runs(spark):
+    """Runs end a fixed time after their first row, over any number of tasks."""
+    g = np.random.default_rng(4)
+    data = [(k, i, int(t)) for k, n in (("a", 2_000), ("b", 3), ("c", 200)) for i, t in enumerate(np.cumsum(g.integers(0, 9, n)))]
+    want = []
+    for k in "abc":
+        lead, run = None, 0
+        for _, i, t in sorted((r for r in data if r[0] == k), key=lambda r: (r[2], r[1])):
+            if lead is None:
+                lead = t
+            elif t - lead > 30:
+                lead, run = t, run + 1
+            want.append((k, i, run))
+    df = spark.createDataFrame(data + [("a", 9_999, None)], "g string, i long, at long").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert rows(leader_runs(df, "g", "at", "i", 30)) == sorted(want, key=repr)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert rows(leader_runs(df.limit(0), "g", "at", "i", 30)) == []
+
+
+def test_text_columns(spark):
+    one = lambda f, kind, *values: [r[0] for r in spark.createDataFrame([(v,) for v in values], f"x {kind}").select(f(F.col("x"))).collect()]
+    assert one(columns.elapsed_seconds, "string", "05:07", "1:00:00", "2-03:04:05", "5", "", None, "a:10") == [307, 3_600, 183_845, None, None, None, None]
+    assert one(columns.offset_time, "string", "2025-01-01T00:00:10Z", "2025-01-01 02:00:00+02:00", "2025-01-01T00:00:10", "2025-13-01T00:00:10Z", "", None) == [1_735_689_610, 1_735_689_600, None, None, None, None]
+    assert one(columns.identifiers, "string", "parserGemosa snake_case_x x9 a", "", None) == [["parserGemosa", "parser", "Gemosa", "snake_case_x", "snake", "case", "x9"], [], None]
+    assert one(columns.folded_tokens, "string", "Größe Recherchen", "日本語 x", "", None) == [["große", "recher"], ["x", "日本", "本語"], [], None]
+    assert one(columns.facets, "string", '{"a": 1, "b": "x"}', "{broken", "", None, "[1]") == [{"a": "1", "b": "x"}, None, None, None, None]
+    assert one(lambda c: columns.canonical_json(columns.facets(c)), "string", '{"b": "x", "a": "1"}', "{}", None) == ['{"a":"1","b":"x"}', "{}", None]
+    maps = spark.createDataFrame([({"a": "1"}, {"a": "1", "b": "2"}), ({"a": "1"}, {"a": "2"}), ({"c": "1"}, {"a": "2"}), (None, {"a": "2"}), ({}, {})], "x map<string,string>, y map<string,string>")
+    assert [r[0] for r in maps.select(columns.compatible(F.col("x"), F.col("y"))).collect()] == [True, False, True, True, True]
+    need = F.create_map(F.lit("a"), F.array(F.lit("1"), F.lit("3")))
+    assert [r[0] for r in maps.select(columns.meets(need, F.col("y"))).collect()] == [True, False, False, False, False]
+
+
+def test_kept_apart(spark):
+    pool = spark.createDataFrame([(1, 1, 0.9, [1.0, 0.0]), (1, 2, 0.8, [1.0, 0.01]), (1, 3, 0.7, [0.0, 1.0]), (2, 4, 0.5, [1.0, 0.0])], "q long, i long, s double, v array<double>")
+    assert rows(ranking.apart(pool, "q", "i", "s", "v"), "i", "place") == [(1, 1), (3, 2), (4, 1)]
+    assert rows(ranking.apart(pool.limit(0), "q", "i", "s", "v")) == []
+
+
+def test_earlier_rows_only(spark):
+    df = spark.createDataFrame([(i, [float(i == k) + 0.1 * i for k in range(4)]) for i in range(4)], "id long, vec array<float>")
+    found = rows(block_search(df, df, 2, 4, earlier=True), "query_id", "id")
+    assert found == [(1, 0), (2, 0), (2, 1), (3, 1), (3, 2)] or all(a > b for a, b in found) and len(found) == 5
+
+
 def test_tied_ranks(spark):
     g = np.random.default_rng(8)
     values = [None if x < -1.4 else float("nan") if x > 1.9 else float(np.round(x, 1)) for x in g.standard_normal(400)]
