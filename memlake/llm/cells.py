@@ -30,14 +30,15 @@ from memlake.plans.runtime import BROADCAST_ROWS, written
 #: Vectors that pivots are fitted on at most (twice this number is the hard bound), whatever the input's size.
 SAMPLE = 16_384
 #: Vectors that a cell should have, and the most pivots of a set; where more cells are needed, a second set divides them.
-CELL, MAX_PIVOTS = 6_000, 4_096
+CELL, MAX_PIVOTS = 3_000, 4_096
 #: Vectors in one block of a split cell; also the largest cluster that makes a cell of its own.
 BLOCK = 12_288
 #: Cells that a vector outside of the first table's clusters enters in each further table. If no more than FEWEST cells are wanted there is
 #: one cell for all these vectors, in as many blocks: they are compared in full.
 PROBES, FEWEST = 2, 4
-#: Share of neighbours that may be expected to share no cell, and the sampled vectors it is measured with.
-LOSS, TRIED = 0.01, 2_048
+#: Share of neighbours outside of the first table's clusters that may be expected to share no cell, and the sampled vectors it is measured
+#: with. Real neighbours lie where vectors are dense and share cells more often than the made ones.
+LOSS, TRIED = 0.08, 2_048
 #: Sample vectors at least this similar to a pivot become no pivot themselves, so that a dense cluster keeps one cell.
 APART = 0.6
 #: A vector stays in the first table if it is this similar to its pivot; there it also enters all cells of pivots at least
@@ -176,12 +177,11 @@ def _sample(vectors: DataFrame, sample: int) -> tuple[int, dict[int, np.ndarray]
     return total, {n: np.concatenate(ms) for n, ms in found.items()}
 
 
-def fit_cells(vectors: DataFrame, near: float = 0.7, tables: int = TABLES, sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK, first: dict[int, np.ndarray] | None = None, loss: float = LOSS) -> Cells:
+def fit_cells(vectors: DataFrame, near: float = 0.7, tables: int = TABLES, sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK, first: dict[int, np.ndarray] | None = None) -> Cells:
     """Cells for `vectors` (id, vec), fitted on a sample of at most 2 * `sample` vectors.
 
     near: the cosine from which on vectors count as neighbours; tables: the fewest further tables; first: pivots that make up the first
-    table, by length, in place of sampled ones; loss: the share of neighbours outside of the first table's clusters that may be expected to
-    share no cell.
+    table, by length, in place of sampled ones.
     """
     total, units = _sample(vectors, sample)
     drawn = sum(map(len, units.values()))
@@ -202,7 +202,7 @@ def fit_cells(vectors: DataFrame, near: float = 0.7, tables: int = TABLES, sampl
             share = np.bincount(scores.argmax(1)[owned(scores)], minlength=len(chosen)) / len(u)
             chosen, scores = chosen[share * rows <= block], scores[:, share * rows <= block]
         free = single[~owned(scores)]
-        cells.first[n], cells.tables[n] = chosen, _tables(free if len(free) else single, rows * len(free) / len(u), near, tables, cell, loss)
+        cells.first[n], cells.tables[n] = chosen, _tables(free if len(free) else single, rows * len(free) / len(u), near, tables, cell)
         counts = [(scores >= NEAR).sum(0)] + [np.bincount(t.near(free).ravel(), minlength=len(t)) for t in cells.tables[n]]
         cells.splits[n] = [np.maximum(1, np.ceil(c / len(u) * rows / block)).astype(int) for c in counts]
         if len(cells.tables[n]) == len(cells.tables[n][0]) == 1:
@@ -210,7 +210,7 @@ def fit_cells(vectors: DataFrame, near: float = 0.7, tables: int = TABLES, sampl
     return cells.number()
 
 
-def _tables(free: np.ndarray, rows: float, near: float, least: int, cell: int, loss: float) -> list[Table]:
+def _tables(free: np.ndarray, rows: float, near: float, least: int, cell: int) -> list[Table]:
     """As many tables over the unit rows `free`, a sample of `rows` vectors, as neighbours of cosine halfway from `near` to 1 need."""
     want = ceil(rows * PROBES / cell)
     if want <= FEWEST:
@@ -222,7 +222,7 @@ def _tables(free: np.ndarray, rows: float, near: float, least: int, cell: int, l
     main = min(want, MAX_PIVOTS, len(free))
     found: list[Table] = []
     lost = 1.0
-    while len(found) < least or (lost > loss and len(found) < MAX_TABLES):
+    while len(found) < least or (lost > LOSS and len(found) < MAX_TABLES):
         drawn = free[np.random.default_rng(len(found) + 1).permutation(len(free))]
         second = drawn[main : main + -(-want // main)] if want > MAX_PIVOTS else None
         found.append(Table(drawn[:main], second if second is not None and len(second) > 1 else None))

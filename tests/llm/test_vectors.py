@@ -135,7 +135,7 @@ def test_many_cells_keep_neighbours_together(spark, monkeypatch, pivots):
     tables = cells.tables[64]
     assert len(tables[0]) >= 40 and len(tables) >= 2 and (tables[0].second is not None) == (pivots == 9)
     groups, met = met_pairs(assign(frame(spark, m, [], False), cells))
-    assert np.mean([p in met for p in near]) >= 0.97
+    assert np.mean([p in met for p in near]) >= 1 - cells_module.LOSS
     assert len(met) < 0.5 * len(m) ** 2 / 2 and np.mean([len(s) for s in groups.values()]) < 120
 
 
