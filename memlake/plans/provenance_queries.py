@@ -315,3 +315,65 @@ def q140_write_path(s, d):
     same = F.bool_or(F.col("sc") == F.col("own"))
     path = F.when(F.max("target").isNull(), "created").when(same, "reinforced").otherwise("related")
     return met.groupBy("id").agg(path.alias("path"), F.min("target").alias("target"))
+
+
+#: Counters of candidates by their condition, in words that both Spark and the checking SQL understand.
+_COUNTERS = {
+    "exposed": "true", "used": "decision = 'selected'", "rejected": "decision = 'rejected'", "suppressed": "decision = 'suppressed'", "assessed": "applicability is not null", "unknown": "applicability is null",
+    "fit": "applicability >= threshold", "unfit": "applicability < threshold", "used_unfit": "decision = 'selected' and applicability < threshold", "missed": "decision <> 'selected' and applicability >= threshold",
+    "dense": "dense_cosine is not null", "near": "dense_cosine >= 0.5", "lexical": "lexical_rank is not null", "lexical_first": "lexical_rank <= 3", "both_channels": "dense_cosine is not null and lexical_rank is not null", "scored": "rrf_score is not null",
+    "placed": "selected_position is not null", "placed_first": "selected_position = 0", "redundant": "redundant_with is not null",
+    **{f"for_{r}": f"reason_code = '{r}'" for r in ("below_threshold", "insufficient_evidence", "hybrid_relevance", "redundant", "wrong_task_facet", "decision_constraint", "filtered")},
+}
+
+
+@query(f"""WITH t AS (SELECT candidate_kind, candidate_id, {", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in _COUNTERS.items())}, count(DISTINCT e.session_id) FILTER (decision = 'selected') AS sessions FROM {LAST_CANDS} c LEFT JOIN {LAST_CALLS} e ON e.context_id = c.retrieval_id GROUP BY 1, 2)
+SELECT candidate_kind, {", ".join(f"CAST(sum({n}) AS BIGINT) AS {n}, count(*) FILTER ({n} > 0) AS {n}_targets" for n in _COUNTERS)}, count(*) FILTER (sessions >= 2) AS across_sessions FROM t GROUP BY 1""")
+def q184_effectiveness(s, d):
+    """Counters of candidates and of the different targets behind them, first of each target, then of each kind: no distinct count over all rows."""
+    asked = calls(s, d).select(F.col("context_id").alias("retrieval_id"), "session_id")
+    rows = candidates(s, d).join(asked, "retrieval_id", "left")
+    sessions = F.count_distinct(F.when(F.col("decision") == "selected", F.col("session_id"))).alias("sessions")
+    per = rows.groupBy("candidate_kind", "candidate_id").agg(*[F.count_if(F.expr(c)).alias(n) for n, c in _COUNTERS.items()], sessions)
+    sums = [x for n in _COUNTERS for x in (F.sum(n).alias(n), F.count_if(F.col(n) > 0).alias(f"{n}_targets"))]
+    return per.groupBy("candidate_kind").agg(*sums, F.count_if(F.col("sessions") >= 2).alias("across_sessions"))
+
+
+_ROW = ("exposed", "used", "rejected", "suppressed", "assessed", "fit", "unfit", "missed", "redundant")
+
+
+@query(f"""SELECT m.id, {", ".join(f"coalesce({n}, 0) AS {n}" for n in _ROW)}, coalesce(sessions, 0) AS sessions, last_at, last_used, coalesce(tags, 0) AS tags, CASE WHEN coalesce(assessed, 0) = 0 THEN -1.0 ELSE round(used / assessed, 6) END AS use_rate FROM {LAST_SCHEMAS} m
+LEFT JOIN (SELECT {_ID} AS id, {", ".join(f"count(*) FILTER ({_COUNTERS[n]}) AS {n}" for n in _ROW)}, count(DISTINCT e.session_id) AS sessions, max(e.created_at) AS last_at, max(e.created_at) FILTER (decision = 'selected') AS last_used FROM {LAST_CANDS} c LEFT JOIN {LAST_CALLS} e ON e.context_id = c.retrieval_id WHERE candidate_kind = 'memory' GROUP BY 1) x ON x.id = m.id
+LEFT JOIN (SELECT memory_id, count(*) AS tags FROM standing_rules GROUP BY 1) r ON r.memory_id = m.id""")
+def q185_claim_table(s, d):
+    """Each claim with its counters, one grouped aggregate for each table below it."""
+    asked = calls(s, d).select(F.col("context_id").alias("retrieval_id"), "session_id", "created_at")
+    rows = candidates(s, d).where("candidate_kind = 'memory'").withColumn("id", memory_id()).where("id is not null").join(asked, "retrieval_id", "left")
+    used = F.max(F.when(F.col("decision") == "selected", F.col("created_at")))
+    per = rows.groupBy("id").agg(*[F.count_if(F.expr(_COUNTERS[n])).alias(n) for n in _ROW], F.count_distinct("session_id").alias("sessions"), F.max("created_at").alias("last_at"), used.alias("last_used"))
+    tags = table(s, d, "standing_rules").where("memory_id is not null").groupBy(F.col("memory_id").alias("id")).agg(F.count(F.lit(1)).alias("tags"))
+    met = schemas(s, d).select("id").join(per, "id", "left").join(tags, "id", "left").fillna(0, [*_ROW, "sessions", "tags"])
+    return met.withColumn("use_rate", F.when(F.col("assessed") == 0, -1.0).otherwise(F.round(F.col("used") / F.col("assessed"), 6)))
+
+
+@query(f"""SELECT c.session_id, calls, contexts, recalls, empties, first_at, last_at, coalesce(targets, 0) AS targets, coalesce(memories, 0) AS memories, coalesce(procedures, 0) AS procedures, coalesce(rules, 0) AS rules, coalesce(texts, 0) AS texts FROM (SELECT session_id, count(*) AS calls, count(*) FILTER (lower(retrieval_type) = 'context') AS contexts, count(*) FILTER (lower(retrieval_type) = 'recall') AS recalls, count(*) FILTER (coalesce(response_chars, 0) = 0) AS empties, min(created_at) AS first_at, max(created_at) AS last_at FROM {LAST_CALLS} WHERE session_id IS NOT NULL GROUP BY 1) c
+LEFT JOIN (SELECT session_id, count(*) AS targets, {", ".join(f"count(*) FILTER (candidate_kind = '{k}') AS {n}" for k, n in (("memory", "memories"), ("procedure", "procedures"), ("rule", "rules")))} FROM (SELECT DISTINCT e.session_id, candidate_kind, candidate_id FROM {LAST_CANDS} x JOIN {LAST_CALLS} e ON e.context_id = x.retrieval_id WHERE decision = 'selected') GROUP BY 1) t ON t.session_id = c.session_id
+LEFT JOIN (SELECT session_id, count(*) AS texts FROM documents GROUP BY 1) d ON d.session_id = c.session_id""")
+def q186_session_page(s, d):
+    """Each session with aggregates of its calls, of the different targets it was given, and of its texts."""
+    asked = calls(s, d).where("session_id is not null")
+    kind = lambda k: F.count_if(F.lower("retrieval_type") == k)
+    own = asked.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("calls"), kind("context").alias("contexts"), kind("recall").alias("recalls"), F.count_if(F.coalesce("response_chars", F.lit(0)) == 0).alias("empties"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at")
+    )
+    given = candidates(s, d).where("decision = 'selected'").join(asked.select(F.col("context_id").alias("retrieval_id"), "session_id"), "retrieval_id").select("session_id", "candidate_kind", "candidate_id").distinct()
+    targets = given.groupBy("session_id").agg(F.count(F.lit(1)).alias("targets"), *[F.count_if(F.col("candidate_kind") == k).alias(n) for k, n in (("memory", "memories"), ("procedure", "procedures"), ("rule", "rules"))])
+    texts = table(s, d, "documents").where("session_id is not null").groupBy("session_id").agg(F.count(F.lit(1)).alias("texts"))
+    return own.join(targets, "session_id", "left").join(texts, "session_id", "left").fillna(0, ["targets", "memories", "procedures", "rules", "texts"])
+
+
+@query(f"""SELECT id, scope_id, generalization_stage FROM {LAST_SCHEMAS} WHERE scope_id = 'project:harborline' OR scope_id IS NULL OR scope_id IN ('global', 'user:global') OR (generalization_stage BETWEEN 2 AND 3)""")
+def q187_visible_claims(s, d):
+    """Claims that one scope sees: its own, those of none or of all, and those general enough."""
+    visible = "scope_id = 'project:harborline' or scope_id is null or scope_id in ('global', 'user:global') or generalization_stage between 2 and 3"
+    return schemas(s, d).where(visible).select("id", "scope_id", "generalization_stage")

@@ -179,11 +179,12 @@ def q104_pages(s, d):
     return budget_pages(rows, "scope", "id", "size", 2_000)
 
 
-@query(f"""SELECT r.key AS retrieval_id, selected_total, coalesce(n, 0) AS delivered, selected_total - coalesce(n, 0) AS difference FROM (SELECT *, lower(trim(retrieval_id)) AS key FROM {LAST_RUNS}) r LEFT JOIN (SELECT retrieval_id, count(*) AS n FROM {LAST_CANDS} WHERE decision = 'selected' GROUP BY 1) c ON c.retrieval_id = r.key WHERE selected_total <> coalesce(n, 0)""")
+@query(f"""SELECT r.key AS retrieval_id, selected_total, coalesce(n, 0) AS delivered, selected_total - coalesce(n, 0) AS difference FROM (SELECT *, lower(trim(retrieval_id)) AS key FROM {LAST_RUNS}) r LEFT JOIN (SELECT retrieval_id, count(*) AS n FROM {LAST_CANDS} WHERE decision = 'selected' GROUP BY 1) c ON c.retrieval_id = r.key""")
 def q105_selection_audit(s, d):
+    """What each run says it selected, what a recount of its candidates gives, and the difference."""
     shown = candidates(s, d).where("decision = 'selected'").groupBy(F.col("retrieval_id").alias("key")).agg(F.count(F.lit(1)).alias("n"))
     rows = runs(s, d).join(shown, "key", "left").withColumn("delivered", F.coalesce("n", F.lit(0)))
-    return rows.where("selected_total <> delivered").select(F.col("key").alias("retrieval_id"), "selected_total", "delivered", (F.col("selected_total") - F.col("delivered")).alias("difference"))
+    return rows.select(F.col("key").alias("retrieval_id"), "selected_total", "delivered", (F.col("selected_total") - F.col("delivered")).alias("difference"))
 
 
 @query("""SELECT id, CAST(sum(CASE WHEN dim <> len(embedding) THEN 1 ELSE 0 END) AS BIGINT) AS wrong_dim, count(*) AS deliveries, count(DISTINCT salience) AS saliences FROM episodic_memories GROUP BY 1 HAVING count(*) > 1 OR sum(CASE WHEN dim <> len(embedding) THEN 1 ELSE 0 END) > 0""")
