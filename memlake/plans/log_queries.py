@@ -327,15 +327,17 @@ def q74_gate_rejections(s, d):
     return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("runs"), F.sum("n").alias("rejected"))
 
 
-@query("""SELECT episode_id, prototype_id FROM (SELECT DISTINCT episode_id, prototype_id FROM episode_prototype_map WHERE episode_id % 2 = 0 OR prototype_id % 3 = 0) WHERE episode_id IS NOT NULL AND prototype_id IS NOT NULL""")
-def q75_insert_or_ignore(s, d):
-    """Two slices of the links, as the SQL states them; q110_insert_or_ignore_late takes the whole table."""
-    rows = table(s, d, "episode_prototype_map").select("episode_id", "prototype_id").dropna()
-    return add_missing(rows.where("episode_id % 2 = 0").distinct(), rows.where("prototype_id % 3 = 0"), ["episode_id", "prototype_id"])
+#: From this load on a link counts as new in q75 and q110; one without a time of loading does, too.
+LOADED = "2025-10-01 00:00:00"
 
 
-#: From this load on a link counts as new in q110; one without a time of loading does, too.
-LOADED = "2025-10-01 00:00:00"
+@query("""SELECT DISTINCT episode_id, prototype_id FROM episode_prototype_map WHERE episode_id IS NOT NULL AND prototype_id IS NOT NULL""")
+def q75_insert_or_ignore(s, d):
+    """The links known before a load, and those of the load that they lack."""
+    rows = table(s, d, "episode_prototype_map").dropna(subset=["episode_id", "prototype_id"])
+    known = F.coalesce(F.col("loaded_at").cast("timestamp") < F.lit(LOADED).cast("timestamp"), F.lit(False))
+    pairs = lambda df: df.select("episode_id", "prototype_id")
+    return add_missing(pairs(rows.where(known)).distinct(), pairs(rows.where(~known)), ["episode_id", "prototype_id"])
 
 
 @query(f"""SELECT episode_id, prototype_id, bool_or(coalesce(loaded_at < TIMESTAMP '{LOADED}', false)) AS known FROM episode_prototype_map WHERE episode_id IS NOT NULL AND prototype_id IS NOT NULL GROUP BY 1, 2""")

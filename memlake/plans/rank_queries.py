@@ -267,10 +267,10 @@ def q38_relation_spread(s, d):
     return graph.reached(seeds, edges, 2, 0.6).withColumn("activation", F.round("activation", 9))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT src, dst FROM ({_TRANS}) WHERE n >= 2 AND src <> dst), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(node, label) AS (SELECT DISTINCT src, src FROM b UNION SELECT b.dst, r.label FROM r JOIN b ON r.node = b.src WHERE r.label < b.dst) SELECT node, min(label) AS label FROM r GROUP BY 1""")
+@query(f"""WITH RECURSIVE e AS (SELECT src, dst FROM ({_TRANS}) WHERE src <> dst), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(node, label) AS (SELECT DISTINCT src, src FROM b UNION SELECT b.dst, r.label FROM r JOIN b ON r.node = b.src WHERE r.label < b.dst) SELECT node, min(label) AS label FROM r GROUP BY 1""")
 def q39_components(s, d):
-    """Components of the links seen twice or more, as the SQL states them; q109_all_components has those of the whole graph."""
-    return graph.connected_components(_counts(s, d).where("n >= 2").select("src", "dst"))
+    """Components of all links; q109_all_components adds the nodes without any."""
+    return graph.connected_components(_counts(s, d).select("src", "dst"))
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT src, dst FROM ({_TRANS}) WHERE src <> dst), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(node, label) AS (SELECT DISTINCT src, src FROM b UNION SELECT b.dst, r.label FROM r JOIN b ON r.node = b.src WHERE r.label < b.dst)
