@@ -42,6 +42,18 @@ def sentence_windows(texts: DataFrame, most: int = 1_024) -> DataFrame:
     return texts.where("text is not null").mapInPandas(run, f"id {kind}, start int, stop int")
 
 
+def _spanning(ordered: DataFrame) -> DataFrame:
+    """Rows of the groups that lie in several of the range partitions `part`; as these are contiguous, the groups are fewer than the partitions."""
+    spans = ordered.groupBy(F.col("g").alias("_g")).agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("_g")
+    return ordered.join(F.broadcast(spans), F.col("g").eqNullSafe(F.col("_g")), "left_semi")
+
+
+def _begun(ordered: DataFrame, begins: DataFrame) -> DataFrame:
+    """`ordered` with what `begins` (g, part, ...) says of each stretch of a spanning group, null for others; fewer than two stretches a partition."""
+    own = begins.withColumnsRenamed({"g": "_g", "part": "_part"})
+    return ordered.join(F.broadcast(own), F.col("g").eqNullSafe(F.col("_g")) & (F.col("part") == F.col("_part")), "left").drop("_g", "_part")
+
+
 def budget_pages(rows: DataFrame, group: str, item: str, size: str, budget: int) -> DataFrame:
     """(group, item, page): items in order, each on the open page while it fits `budget` (at least 1), else on a new one.
 
@@ -59,7 +71,7 @@ def budget_pages(rows: DataFrame, group: str, item: str, size: str, budget: int)
         closed, fill = _run(pdf["s"].to_numpy(), np.arange(budget + 1), budget)[:2]
         return pd.DataFrame({"g": [pdf["g"].iloc[0]], "part": [pdf["part"].iloc[0]], "closed": [closed.tolist()], "fill": [fill.tolist()]})
 
-    stretches = ordered.groupBy("g", "part").applyInPandas(states, "g string, part int, closed array<long>, fill array<long>")
+    stretches = _spanning(ordered).groupBy("g", "part").applyInPandas(states, "g string, part int, closed array<long>, fill array<long>")
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         page, fill, out = 0, 0, []
@@ -75,7 +87,7 @@ def budget_pages(rows: DataFrame, group: str, item: str, size: str, budget: int)
         pages = _run(pdf["s"].to_numpy(), np.array([pdf["fill"].iloc[0]]), budget)[2]
         return pd.DataFrame({group: pdf["g"], item: pdf["i"], "page": pdf["page"].iloc[0] + pages})
 
-    met = ordered.join(begins, ordered["g"].eqNullSafe(begins["g"]) & (ordered["part"] == begins["part"])).select(ordered["g"], ordered["part"], "i", "s", "page", "fill")
+    met = _begun(ordered, begins).select("g", "part", "i", "s", F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("fill", F.lit(0)).alias("fill"))
     return met.groupBy("g", "part").applyInPandas(number, f"{group} string, {item} long, page long")
 
 
@@ -93,7 +105,7 @@ def leader_runs(rows: DataFrame, group: str, at: str, item: str, width: int) ->
         opened, age = _ages(times, np.arange(width + 1), width)[:2]
         return pd.DataFrame({"g": [pdf["g"].iloc[0]], "part": [pdf["part"].iloc[0]], "first": [times[0]], "last": [times[-1]], "opened": [opened.tolist()], "age": [age.tolist()]})
 
-    stretches = ordered.groupBy("g", "part").applyInPandas(states, "g string, part int, first long, last long, opened array<long>, age array<long>")
+    stretches = _spanning(ordered).groupBy("g", "part").applyInPandas(states, "g string, part int, first long, last long, opened array<long>, age array<long>")
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         run, age, last, out = 0, 0, None, []
@@ -111,7 +123,7 @@ def leader_runs(rows: DataFrame, group: str, at: str, item: str, width: int) ->
         pdf = pdf.sort_values(["at", "i"])
         return pd.DataFrame({group: pdf["g"], item: pdf["i"], "run": pdf["run"].iloc[0] + _ages(pdf["at"].to_numpy(), np.array([pdf["age"].iloc[0]]), width)[2]})
 
-    met = ordered.join(begins, ordered["g"].eqNullSafe(begins["g"]) & (ordered["part"] == begins["part"])).select(ordered["g"], ordered["part"], "at", "i", "run", "age")
+    met = _begun(ordered, begins).select("g", "part", "at", "i", F.coalesce("run", F.lit(0)).alias("run"), F.coalesce("age", F.lit(0)).alias("age"))
     return met.groupBy("g", "part").applyInPandas(number, f"{group} string, {item} long, run long")
 
 
