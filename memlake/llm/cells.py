@@ -1,4 +1,4 @@
-"""Cells of near vectors, the unit of work of the operators on vectors.
+"""Cells of near vectors, the unit of work of the search for nearest vectors. Some pairs share no cell; for all pairs there is `memlake.llm.links`.
 
 Pivots come from a bounded sample; every vector is indexed. The pivots of the first table stand for dense clusters of bounded
 size. A vector that is near to one of them has its neighbours in the same cell and enters only the cells of such pivots; any
@@ -164,7 +164,7 @@ class Cells:
         return self
 
 
-def _sample(vectors: DataFrame, sample: int) -> tuple[int, dict[int, np.ndarray]]:
+def sampled_units(vectors: DataFrame, sample: int = SAMPLE) -> tuple[int, dict[int, np.ndarray]]:
     """Rows of `vectors` (id, vec), and unit vectors of a sample that hashes choose, by length."""
     total = vectors.count()
     base = 1 << 30
@@ -183,7 +183,7 @@ def fit_cells(vectors: DataFrame, near: float = 0.7, tables: int = TABLES, sampl
     near: the cosine from which on vectors count as neighbours; tables: the fewest further tables; first: pivots that make up the first
     table, by length, in place of sampled ones.
     """
-    total, units = _sample(vectors, sample)
+    total, units = sampled_units(vectors, sample)
     drawn = sum(map(len, units.values()))
     cells = Cells(rare_splits=max(1, -(-3 * total // max(1, min(total, sample) * block))) if total > sample else 1)
     for n, u in units.items():

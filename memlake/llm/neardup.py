@@ -1,19 +1,14 @@
 """Near-duplicate records: pairs of texts by their word sets, pairs of vectors by their cosine.
 
-Both map a fingerprint to bit counts per segment and use that the Manhattan distance of the counts never exceeds the number of
-differing bits. Rows meet in cells of a grid over the counts; pairs of a cell beyond the Manhattan range are dropped; the
-rest is verified exactly.
+Neither loses a pair: what both compare first is a bound, and the rest is verified exactly.
 
-Texts: the fingerprint has a bit for each word (a 64-bit hash). Its segments are the SEGMENTS ranges of hashes, of whose counts
+Texts: a fingerprint has a bit for each word (a 64-bit hash) and is mapped to bit counts per segment; the Manhattan distance of the counts never
+exceeds the number of differing bits. Its segments are the SEGMENTS ranges of hashes, of whose counts
 nearly all are 0. Two sets that are similar enough agree in so many counts that they share three of their rarest ones
 (prefix argument): these triples are the grid's cells. On candidates a coarser embedding of COARSE segments gives the bound.
 
-Vectors: a segment is a random line, its bits say which of a ladder of thresholds the projection exceeds (a thermometer), so
-that its bit count is the quantised projection and the Manhattan distance is the number of differing bits. The coarse grid is
-that of the cells of `memlake.llm.cells`: the pivots on which the vector's count is highest. Within a cell, rows meet by ranges of the
-first count. For texts no pair is lost. For vectors both steps may lose some: neighbours may share no cell, and the range of the
-Manhattan distance is several deviations above what the least cosine gives, not the largest distance that it allows: in a hundred
-dimensions that one would let most pairs pass.
+Vectors: all pairs that the angles to the centres of `memlake.llm.links` leave are bounded by their projections on some orthonormal lines. In a
+hundred dimensions quantised projections and the largest Manhattan distance that the least cosine allows would let most pairs pass.
 """
 
 from __future__ import annotations
@@ -27,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.cells import TABLES, assign, fit_cells, per_group, unit, usable_vector
+from memlake.llm.cells import usable_vector
+from memlake.llm.links import near_pairs, piled
 from memlake.plans.runtime import broadcast_if_small, written
 
 SEGMENTS, COARSE = 1 << 16, 32
@@ -116,66 +112,13 @@ def expand_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return across.unionByName(within).where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("id_1"), F.greatest("a", "b").alias("id_2")).distinct()
 
 
-#: Lines, the thermometer's step, and the Manhattan range as a multiple of what is expected at the least cosine.
-DIRECTIONS, STEP, RANGE = 16, 0.02, 2.1
-
-
-def _directions(n: int) -> np.ndarray:
-    q, _ = np.linalg.qr(np.random.default_rng(2_000 + n).standard_normal((n, min(n, DIRECTIONS))))
-    return q.astype(np.float32)
-
-
-def _near_pairs(ids: np.ndarray, raw: np.ndarray, other_ids: np.ndarray, other_raw: np.ndarray, least: float) -> pa.Table:
-    wide, other_wide = unit(raw), unit(other_raw)
-    lines = _directions(raw.shape[1])
-    bits = lambda u: np.floor((u.astype(np.float32) @ lines + 1) / STEP).astype(np.int8)
-    left, right = bits(wide), bits(other_wide)  # counts from 0 to 2 / STEP
-    k, n = lines.shape[1], raw.shape[1]
-    # expected distance of one count at the least cosine, and a margin of several deviations; quantising adds up to one
-    spread = np.sqrt((2 - 2 * least) / n) / STEP
-    most = min(255 * k, k * (RANGE * 0.8 * spread + 0.5) + 4)
-    order = np.argsort(right[:, 0], kind="stable")
-    right, other_ids, other_wide = right[order], other_ids[order], other_wide[order]
-    single, other_single = wide.astype(np.float32), other_wide.astype(np.float32)
-    reach = int(np.ceil(6 * spread)) + 1
-    rows = np.argsort(left[:, 0], kind="stable")
-    out = []
-    lanes = [np.ascontiguousarray(right[:, i]) for i in range(k)]
-    for start in range(0, len(rows), 128):
-        own = rows[start : start + 128]
-        low = np.searchsorted(right[:, 0], max(0, int(left[own[0], 0]) - reach), "left")
-        high = np.searchsorted(right[:, 0], min(127, int(left[own[-1], 0]) + reach), "right")
-        distance = np.zeros((len(own), high - low), np.uint16)
-        one, two = np.empty(distance.shape, np.int8), np.empty(distance.shape, np.int8)
-        for i in range(0, k, 2):  # two counts' distances fit a byte
-            np.abs(np.subtract(left[own, i][:, None], lanes[i][None, low:high], out=one), out=one)
-            if i + 1 < k:
-                np.abs(np.subtract(left[own, i + 1][:, None], lanes[i + 1][None, low:high], out=two), out=two)
-                np.add(one.view(np.uint8), two.view(np.uint8), out=one.view(np.uint8))
-            np.add(distance, one.view(np.uint8), out=distance)
-        candidate = distance <= most
-        columns = np.flatnonzero(candidate.any(0))
-        # verified in single precision, what may reach the least cosine in double precision
-        near = candidate[:, columns] & (single[own] @ other_single[low + columns].T >= least - 2e-6)
-        row, column = np.nonzero(near)
-        row, column = own[row], low + columns[column]
-        keep = ids[row] != other_ids[column]
-        row, column = row[keep], column[keep]
-        good = np.round(np.einsum("ij,ij->i", wide[row], other_wide[column]), 9) >= least
-        out.append((np.minimum(ids[row[good]], other_ids[column[good]]), np.maximum(ids[row[good]], other_ids[column[good]])))
-    pairs = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 2
-    if len(pairs[0]):
-        pairs = list(np.unique(np.stack(pairs), axis=1))
-    return pa.table({"id_1": pairs[0], "id_2": pairs[1]})
-
-
-def similar_vectors(vectors: DataFrame, least: float = 0.97, tables: int = TABLES) -> tuple[DataFrame, DataFrame]:
+def similar_vectors(vectors: DataFrame, least: float = 0.97) -> tuple[DataFrame, DataFrame]:
     """Pairs of different vectors, and the classes of equal ones, of `vectors` (id long, vec array<float>).
 
     Returns (head_1, head_2) of classes whose cosine, rounded to 9 decimals, is at least `least`, and (id, head) of the members
     of classes of more than one id. Only vectors that are word for word equal share a class here; a scaled copy is a pair.
     Null, empty, all-zero and non-finite vectors belong to nothing; different lengths aren't compared; repeated rows
-    count once. Pairs that share a cell in none of the tables, or whose counts differ by more than the range, are missed.
+    count once. Nothing is lost, whatever the number of vectors.
     """
     digests = vectors.select("id", F.xxhash64("vec").alias("digest"), F.xxhash64("vec", F.lit(3)).alias("digest2")).distinct()
     heads = digests.groupBy("digest", "digest2").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
@@ -183,8 +126,7 @@ def similar_vectors(vectors: DataFrame, least: float = 0.97, tables: int = TABLE
     classes = written(digests.join(heads, ["digest", "digest2"]).select("id", "head"), "copies")
     spare = classes.where(F.col("id") != F.col("head")).select("id")
     reps = vectors.join(broadcast_if_small(spare), "id", "left_anti") if spare.limit(1).count() else vectors
-    cells = fit_cells(vectors, least, tables)
-    pairs = written(per_group(assign(reps, cells), lambda *x: _near_pairs(*x, least), "id_1 long, id_2 long").distinct(), "pairs")
+    pairs = near_pairs(piled(reps), least)
     return pairs.select(F.col("id_1").alias("head_1"), F.col("id_2").alias("head_2")), classes
 
 

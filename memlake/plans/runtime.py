@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def appended(frames: Iterable[DataFrame], spark: SparkSession, schema: str, name: str) -> DataFrame:
+    """All rows of `frames`, each written before the next is asked for, as one table like that of `written`."""
+    path = f"{checkpoint_dir(spark)}/memlake-{name}-{uuid.uuid4().hex}"
+    _left.append(path)
+    spark.createDataFrame([], schema).write.parquet(path)
+    for df in frames:
+        df.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def clean(spark: SparkSession) -> int:
     """Deletes the tables that `written` left; to be called once the results that read them are stored. Their number."""
     jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), len(_left)

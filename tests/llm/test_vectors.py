@@ -203,6 +203,28 @@ def test_similar_vectors(spark):
     assert rows(expand_vectors(*similar_vectors(df.limit(0)), df.limit(0))) == []
 
 
+def chains(n, length, cosine, lone, d=64, seed=23):
+    """`n` chains of `length` vectors, each of the given cosine to the one before, and lone vectors; all in any order."""
+    g = np.random.default_rng(seed)
+    steps = [unit(g.standard_normal((n, d)))]
+    for _ in range(length - 1):
+        away = g.standard_normal((n, d))
+        away -= np.einsum("ij,ij->i", away, steps[-1])[:, None] * steps[-1]
+        steps.append(cosine * steps[-1] + np.sqrt(1 - cosine**2) * unit(away))
+    m = np.concatenate([np.stack(steps, 1).reshape(-1, d), g.standard_normal((lone, d))]).astype(np.float32)
+    order = g.permutation(len(m))
+    place = np.empty(len(m), int)
+    place[order] = np.arange(len(m))
+    return m[order], place[: n * length].reshape(n, length)
+
+
+def test_similar_vectors_lose_none_of_many(spark):
+    """More vectors outside of clusters than were ever compared in full, all neighbours barely similar enough."""
+    m, pairs = chains(12_000, 2, 0.9701, 0)
+    df = frame(spark, m, [], False)
+    assert set(rows(expand_vectors(*similar_vectors(df, 0.97), df))) == {(int(min(p)), int(max(p))) for p in pairs}
+
+
 def components(m, least, smallest):
     s = cosines(m) >= least
     label = np.arange(len(m))
