@@ -177,11 +177,10 @@ def sampled_units(vectors: DataFrame, sample: int = SAMPLE) -> tuple[int, dict[i
     return total, {n: np.concatenate(ms) for n, ms in found.items()}
 
 
-def fit_cells(vectors: DataFrame, near: float = 0.7, tables: int = TABLES, sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK, first: dict[int, np.ndarray] | None = None) -> Cells:
+def fit_cells(vectors: DataFrame, near: float = 0.7, tables: int = TABLES, sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK) -> Cells:
     """Cells for `vectors` (id, vec), fitted on a sample of at most 2 * `sample` vectors.
 
-    near: the cosine from which on vectors count as neighbours; tables: the fewest further tables; first: pivots that make up the first
-    table, by length, in place of sampled ones.
+    near: the cosine from which on vectors count as neighbours; tables: the fewest further tables.
     """
     total, units = sampled_units(vectors, sample)
     drawn = sum(map(len, units.values()))
@@ -191,8 +190,6 @@ def fit_cells(vectors: DataFrame, near: float = 0.7, tables: int = TABLES, sampl
         single = u.astype(np.float32)
         if near < NEAR:  # neighbours may lie outside of a vector's cluster
             chosen = u[:0]
-        elif first and n in first:
-            chosen = first[n]
         else:
             at, covers = leaders(u, APART)
             chosen = u[at[np.argsort(-covers, kind="stable")[: min((covers > 1).sum(), MAX_PIVOTS)]]]

@@ -2,13 +2,14 @@
 
 Each partition folds its vectors into the leaves of a cluster-feature tree: (count, sum, sum of squares), which add up when
 leaves merge. Leaves are reduced tree-wise, partition by partition, to one bounded set; Ward's method agglomerates those few;
-one pass assigns every vector to the cells of the agglomerated clusters. Within the cells links are verified exactly, and
-cells that share members are joined to components.
+one pass assigns every vector to a pile of its agglomerated cluster. Links within runs of a pile give first components, links between
+these are found among all vectors (`memlake.llm.links`), so that the clusters don't depend on the trees.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil, log
 
 import numpy as np
@@ -17,8 +18,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.cells import APART, MAX_PIVOTS, TABLES, assign, by_length, fit_cells, per_group, unit, without_copies
 from memlake.llm.batches import small
+from memlake.llm.cells import APART, MAX_PIVOTS, by_length, unit, without_copies
+from memlake.llm.links import cosines, piled, root_links, slack
 from memlake.plans.runtime import broadcast_if_small, cut, written
 
 #: Leaves that a tree keeps at most, and trees that are merged at once.
@@ -32,7 +34,7 @@ def condense(n: np.ndarray, total: np.ndarray, squares: np.ndarray, limit: int)
     """Leaves merged with a heavier leaf that is close, at ever lower cosines until at most `limit` are left.
 
     If too many are left at the lowest one, the lightest are forgotten: they stand for vectors that lie alone, or in clusters too small for a
-    cell of their own. Vectors that no leaf stands for are found by the cells' further tables.
+    pile of their own. Vectors that no leaf stands for are compared in full.
     """
     for close in CLOSE:
         order = np.argsort(-n, kind="stable")
@@ -166,51 +168,25 @@ def ward_centroids(vectors: DataFrame, limit: int = LEAVES) -> dict[int, np.ndar
     return found
 
 
-def _local_components(ids: np.ndarray, raw: np.ndarray, other_ids: np.ndarray, other_raw: np.ndarray, least: float) -> pa.Table:
-    """(id, root) of the members of components of the links between two sides of a group; root is the smallest id."""
-    same = ids is other_ids
-    wide, other_wide = unit(raw), (unit(other_raw) if not same else None)
-    other_wide = wide if same else other_wide
-    u, v = wide.astype(np.float32), other_wide.astype(np.float32)
-    left, right = ids.copy(), other_ids.copy()
-    linked, rows = np.zeros(len(ids), bool), np.arange(len(ids))
-    linked_right = np.zeros(len(other_ids), bool)
-    big = np.iinfo(np.int64).max
-    columns = np.arange(len(other_ids))
-    first = True
+def _local_roots(ids: np.ndarray, raw: np.ndarray, least: float) -> np.ndarray:
+    """The smallest id of each vector's component of the links between the vectors."""
+    u = unit(raw).astype(np.float32)
+    roots, margin = ids.copy(), slack(raw.shape[1])
     while True:
-        changed = False
-        for at in range(0, len(rows), 512):
-            own = rows[at : at + 512]
-            score = u[own] @ v[columns].T
+        before = roots.copy()
+        for at in range(0, len(ids), 512):
+            score = u[at : at + 512] @ u.T
             near = score >= least
-            doubt = np.argwhere(np.abs(score - least) < 2e-6)
-            for r, c in doubt:
-                near[r, c] = np.round(wide[own[r]] @ other_wide[columns[c]], 9) >= least
-            near &= ids[own][:, None] != other_ids[columns][None, :]
-            has, has_right = near.any(1), near.any(0)
-            if first:
-                linked[own] |= has
-                linked_right[columns] |= has_right
-            low = np.where(near, right[columns][None, :], big).min(1)
-            low = np.minimum(low, left[own])
-            down = np.where(near, low[:, None], big).min(0)
-            changed |= bool((low < left[own]).any())
-            left[own] = low
-            if same:
-                right = left
-            less = down < right[columns]
-            changed |= bool(less.any())
-            right[columns[less]] = down[less]
-            if same:
-                left = right
-        if first:
-            rows, columns, first = np.flatnonzero(linked), np.flatnonzero(linked_right), False
-        if not changed or not len(rows):
-            break
-    found = np.concatenate([ids[linked], other_ids[linked_right]]), np.concatenate([left[linked], right[linked_right]])
-    pairs = np.unique(np.stack(found), axis=1) if len(found[0]) else np.empty((2, 0), np.int64)
-    return pa.table({"id": pairs[0], "root": pairs[1]})
+            r, c = np.nonzero(np.abs(score - least) < margin)
+            for k in range(0, len(r), 16_384):
+                x, y = r[k : k + 16_384], c[k : k + 16_384]
+                near[x, y] = cosines(raw[at + x], raw[y]) >= least
+            own = roots[at : at + 512]
+            low = np.minimum(np.where(near, roots[None, :], np.iinfo(np.int64).max).min(1), own)
+            roots[at : at + 512] = low
+            roots = np.minimum(roots, np.where(near, low[:, None], np.iinfo(np.int64).max).min(0))
+        if (roots == before).all():
+            return roots
 
 
 def joined_roots(links: DataFrame) -> DataFrame:
@@ -233,17 +209,19 @@ def joined_roots(links: DataFrame) -> DataFrame:
         labels = labels.select("root", "label")
 
 
-def linked_clusters(vectors: DataFrame, least: float = 0.7, smallest: int = 5, tables: int = TABLES) -> DataFrame:
+def linked_clusters(vectors: DataFrame, least: float = 0.7, smallest: int = 5) -> DataFrame:
     """(cluster_key, id): components of vectors of cosine `least` or more with `smallest` members or more, named by the smallest id.
 
     `vectors` is (id long, vec array<float>). Null, empty, all-zero and non-finite vectors belong to no cluster; different
-    lengths aren't compared; repeated rows of an id count once; copies are members like others. A link is missed if its ends
-    share a cell in none of the tables; a cluster is still whole unless all links between two of its parts are. Of a vector that many
-    rows share two are linked to others, the rest goes where they go.
+    lengths aren't compared; repeated rows of an id count once; copies are members like others. No link is missed, whatever the number of
+    vectors. Of a vector that many rows share two are linked to others, the rest goes where they go.
     """
     index, members = without_copies(vectors, 2)
-    cells = fit_cells(vectors, least, tables, first=ward_centroids(vectors))
-    links = written(per_group(assign(index, cells), lambda *x: _local_components(*x, least), "id long, root long"), "links")
+    rows = piled(index, ward_centroids(vectors), lambda ids, m: _local_roots(ids, m, least))
+    edges = root_links(rows, least)
+    local = rows.where(F.col("id") != F.col("root"))
+    ends = [(local, "id", "root"), (local, "root", "root"), (edges, "a", "a"), (edges, "a", "b"), (edges, "b", "b")]
+    links = reduce(DataFrame.unionByName, [df.select(F.col(i).alias("id"), F.col(r).alias("root")) for df, i, r in ends])
     roots = joined_roots(links)
     own = links.groupBy("id").agg(F.min("root").alias("root"))
     labelled = own.join(broadcast_if_small(roots), "root", "left").select("id", F.coalesce("label", "root").alias("cluster_key"))
